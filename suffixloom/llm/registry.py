@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .near_dedup import op3_minhash_near_dedup
+from .packing import op6_harmonic_packing
+from .quality import op9_quality_rules
+from .toxicity import op5_toxicity_kneser_ney
 
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_toxicity_kneser_ney": op5_toxicity_kneser_ney,
+    "op6_harmonic_packing": op6_harmonic_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
