@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .merkle import op4_merkle_fingerprints
 from .near_dedup import op3_minhash_near_dedup
 from .packing import op6_harmonic_packing
 from .quality import op9_quality_rules
@@ -9,6 +10,7 @@ from .toxicity import op5_toxicity_kneser_ney
 
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_toxicity_kneser_ney": op5_toxicity_kneser_ney,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op9_quality_rules": op9_quality_rules,
