@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .merkle import op4_merkle_fingerprints
+from .mixing import op10_pfair_mixing
 from .near_dedup import op3_minhash_near_dedup
 from .packing import op6_harmonic_packing
 from .quality import op9_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_toxicity_kneser_ney": op5_toxicity_kneser_ney,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pfair_mixing": op10_pfair_mixing,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
