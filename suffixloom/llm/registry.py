@@ -7,9 +7,11 @@ from .mixing import op10_pfair_mixing
 from .near_dedup import op3_minhash_near_dedup
 from .packing import op6_harmonic_packing
 from .quality import op9_quality_rules
+from .secrets import op2_secret_scan
 from .toxicity import op5_toxicity_kneser_ney
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_toxicity_kneser_ney": op5_toxicity_kneser_ney,
