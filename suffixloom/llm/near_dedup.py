@@ -1,8 +1,9 @@
 """MinHash near-duplicates, with odd sketches between the bands and the exact comparison.
 
 A document is the set of its distinct n-word shingles. Equal sets are one class from the start, so that copies never meet
-each other again. Each class gets `bands * rows` MinHash values; `bands` keys gather candidates, and the values are folded
-into a bitmap of parities (an odd sketch): the bits in which two sketches differ estimate how many MinHash values differ.
+each other again. Each class gets `bands * rows` MinHash values, whose `bands` keys gather candidates, and a MinHash sample by
+one permutation, which is folded into a bitmap of parities (an odd sketch): the bits in which two sketches differ estimate
+how many values differ, with a standard error of about 0.01 in similarity.
 
 Candidates of a bucket are its members against one pivot, not all pairs: the number of rows grows with the members. Pairs
 that the sketches rule out by a wide margin go, the others are compared as full sets. Members that are not yet in their
@@ -24,7 +25,8 @@ from .graph import components
 from .text import mix, shingle_hashes, word_hashes
 from .workspace import materialize, small_batches
 
-SKETCH_BITS = 512
+#: Bits of an odd sketch, ranges of the MinHash sample in it, and standard errors that rule a pair out.
+SKETCH_BITS, SAMPLE, SIGMAS = 2048, 1024, 5.0
 
 
 def minhash(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -39,25 +41,32 @@ def multipliers(n: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Parities of the (position, value) pairs of a MinHash sample, as bits // 64 signed words."""
-    at = mix(samples ^ mix(np.arange(1, len(samples) + 1, dtype=np.uint64))) % np.uint64(bits)
-    parity = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+def one_permutation(values: np.ndarray) -> np.ndarray:
+    """A MinHash sample by one permutation: the smallest of the ascending `values` in each of SAMPLE equal ranges."""
+    ranges = values >> np.uint64(64 - SAMPLE.bit_length() + 1)
+    return values[np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))]
+
+
+def odd_sketch(sample: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parities of a sample's values over `bits` positions, as bits // 64 signed words."""
+    parity = (np.bincount((mix(sample) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 
-def sketch_limit(similarity: float, samples: int, bits: int = SKETCH_BITS, sigmas: float = 6.0) -> int:
-    """Differing bits beyond which a pair at `similarity` lies only with more than `sigmas` standard deviations."""
-    odd = 2 * samples * (1 - similarity)
-    odd += sigmas * 2 * math.sqrt(samples * similarity * (1 - similarity))
-    mean = bits / 2 * (1 - math.exp(-2 * odd / bits))
-    return min(bits, math.ceil(mean + sigmas * math.sqrt(bits) / 4))
+def sketched_similarity(differing: Column | int, samples: Column | int) -> Column:
+    """Similarity estimated from the differing bits of two sketches and the sum of their sample sizes.
+
+    n parities that differ stand for -n/2 ln(1 - 2 z / n) values that only one of the samples has.
+    """
+    odd = -SKETCH_BITS / 2 * F.log(F.greatest(1 - 2 * differing / F.lit(float(SKETCH_BITS)), F.lit(1e-9)))
+    return (samples - odd) / (samples + odd)
 
 
-def sketched_similarity(differing: int, samples: int, bits: int = SKETCH_BITS) -> float:
-    """Similarity that a number of differing sketch bits stands for."""
-    left = max(1e-9, 1 - 2 * differing / bits)
-    return max(0.0, 1 + bits / (4 * samples) * math.log(left))
+def sketch_error(similarity: float, fewest: Column, largest: Column) -> Column:
+    """Standard error of the estimate near `similarity`: of the parities, and of samples smaller than their sets."""
+    q = (1 - similarity) / (1 + similarity)
+    parities = 1.3 * math.sqrt(2 / SKETCH_BITS) * 2 * q / (1 + q) ** 2
+    return F.sqrt(parities**2 + similarity * (1 - similarity) * F.greatest(1 / fewest - 1 / largest, F.lit(0.0)))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int) -> DataFrame:
@@ -70,26 +79,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: i
         factors = multipliers(bands * rows)
         salts = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            sizes, keys, band_keys, sketches = [], [], [], []
+            sizes, keys, band_keys, samples, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 values = np.unique(shingle_hashes(word_hashes(text), ngram))
                 sizes.append(len(values))
                 if not len(values):
-                    keys.append(None), band_keys.append(None), sketches.append(None)
+                    keys.append(None), band_keys.append(None), samples.append(0), sketches.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(values.tobytes()))
-                sample = minhash(values, factors)
-                key, by_band = salts.copy(), sample.reshape(bands, rows)
+                key, by_band = salts.copy(), minhash(values, factors).reshape(bands, rows)
                 for i in range(rows):
                     key = mix(key * np.uint64(31) + by_band[:, i])
                 band_keys.append(key.view(np.int64))
+                sample = one_permutation(values)
+                samples.append(len(sample))
                 sketches.append(odd_sketch(sample))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(band_keys, pa.list_(pa.int64())), pa.array(samples, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_key", "bands", "n_samples", "sketch"],
             )
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
+    return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>, n_samples bigint, sketch array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ngram: int) -> DataFrame:
@@ -112,9 +122,12 @@ def differing_bits(a: str, b: str, words: int = SKETCH_BITS // 64) -> Column:
     return total
 
 
-def _plausible(percent: int, limit: int) -> Column:
-    """Sizes that allow the similarity, and sketches that do not rule it out."""
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing_bits("sk_a", "sk_b") <= limit)
+def _plausible(percent: int) -> Column:
+    """Sizes that allow the similarity, and sketches whose estimate is not below it by SIGMAS standard errors."""
+    s = percent / 100
+    estimate = sketched_similarity(differing_bits("sk_a", "sk_b"), F.col("m_a") + F.col("m_b"))
+    error = sketch_error(s, F.least("m_a", "m_b"), F.greatest("n_a", "n_b"))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate >= s - SIGMAS * error)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -127,19 +140,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id and kept true. Other columns of `docs` are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    limit = sketch_limit(percent / 100, bands * rows)
     signed = materialize(signatures(docs, id_col, text_col, ngram, bands, rows), "signatures")
     classes = materialize(
-        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first(F.struct("bands", "sketch")).alias("s")).select("node", "set_key", "n", "s.bands", "s.sketch"), "classes"
+        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first(F.struct("bands", "n_samples", "sketch")).alias("s")).select("node", "set_key", "n", F.col("s.n_samples").alias("m"), "s.bands", "s.sketch"), "classes"
     )
-    a_side = classes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"))
-    b_side = classes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"))
+    side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("node", ""), ("n", "n_"), ("m", "m_"), ("sketch", "sk_"))]
 
     members = classes.select("node", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    crowd = materialize(members.join(crowded, "key"), "buckets")
-    stars = crowd.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = materialize(stars.join(a_side, "a").join(b_side, "b").where(_plausible(percent, limit)).select("a", "b"), "stars")
+    crowd = materialize(members.join(crowded, "key").where("node <> pivot").groupBy("pivot", "node").agg(F.max("size").alias("size")), "buckets")
+    stars = crowd.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    stars = materialize(stars.join(classes.select(*side("a")), "a").join(classes.select(*side("b")), "b").where(_plausible(percent)).select("a", "b"), "stars")
 
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -153,14 +164,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = confirmed(stars, "stars")
     labels = materialize(components(links), "labels")
 
-    # What the pivots left open: members of one bucket in different components.
-    owned = crowd.where("size > 2").join(labels, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("c"))
-    mixed = owned.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("c"))).alias("main")).where("lo <> hi").select("key", "main")
-    rest = owned.where("node <> pivot").join(mixed, "key").join(classes.select("node", "n", "sketch"), "node")
-    rest = materialize(rest.select("key", "node", "c", "n", "sketch", (F.col("c") == F.col("main")).alias("in_main")), "rest")
-    left = rest.where("not in_main").select("key", F.col("node").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"), "in_main")
-    more = left.join(right, (left["key"] == right["key"]) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(percent, limit))
+    # What the pivots left open: members of one bucket in different components. Buckets of one pivot are taken together,
+    # so that two members meet once and not in every bucket that they share.
+    label_of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    owned = crowd.where("size > 2").join(label_of("node"), "node", "left").join(label_of("pivot"), "pivot", "left")
+    owned = owned.select("pivot", "node", F.coalesce("c_node", "node").alias("c"), F.coalesce("c_pivot", "pivot").alias("main"))
+    mixed = owned.groupBy("pivot").agg(F.sum((F.col("c") != F.col("main")).cast("int")).alias("open"), F.count("*").alias("all")).where("open > 0 and all > 1").select("pivot")
+    rest = materialize(owned.join(mixed, "pivot").join(classes.drop("bands", "set_key"), "node").withColumn("in_main", F.col("c") == F.col("main")), "rest")
+    left = rest.where("not in_main").select(F.col("pivot").alias("p_a"), F.col("c").alias("c_a"), *side("a"))
+    right = rest.select(F.col("pivot").alias("p_b"), F.col("c").alias("c_b"), *side("b"), "in_main")
+    more = left.join(right, (F.col("p_a") == F.col("p_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(percent))
     more = materialize(more.select("a", "b").distinct(), "more")
     if not more.isEmpty():
         extra = confirmed(more, "more")
