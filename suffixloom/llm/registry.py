@@ -8,9 +8,11 @@ from .near_dedup import op3_minhash_near_dedup
 from .packing import op6_harmonic_packing
 from .quality import op9_quality_rules
 from .secrets import op2_secret_scan
+from .substring_dedup import op1_substring_dedup
 from .toxicity import op5_toxicity_kneser_ney
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
