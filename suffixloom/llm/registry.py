@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .media import op7_chroma_alignment
 from .merkle import op4_merkle_fingerprints
 from .mixing import op10_pfair_mixing
 from .near_dedup import op3_minhash_near_dedup
@@ -9,6 +10,8 @@ from .packing import op6_harmonic_packing
 from .quality import op9_quality_rules
 from .secrets import op2_secret_scan
 from .substring_dedup import op1_substring_dedup
+from .token_rollup import ORACLE as TOKEN_ROLLUP
+from .token_rollup import op8_token_rollup
 from .toxicity import op5_toxicity_kneser_ney
 
 QUERIES = {
@@ -18,9 +21,11 @@ QUERIES = {
     "op4_merkle_fingerprints": op4_merkle_fingerprints,
     "op5_toxicity_kneser_ney": op5_toxicity_kneser_ney,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op7_chroma_alignment": op7_chroma_alignment,
+    "op8_token_rollup": op8_token_rollup,
     "op9_quality_rules": op9_quality_rules,
     "op10_pfair_mixing": op10_pfair_mixing,
 }
 
 #: DuckDB SQL, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_token_rollup": TOKEN_ROLLUP}
