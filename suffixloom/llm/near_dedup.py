@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .prefilter import bloom_words, key_hash, may_hold
 from .text import mix, shingle_hashes, word_hashes
 from .workspace import materialize, small_batches
 
@@ -102,16 +103,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: i
     return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>, n_samples bigint, sketch array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """(doc_id, shingles array<bigint>) of frames (doc_id, text)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
+    """(doc_id, shingles array<bigint>) of the rows of (doc_id, text) whose doc_id is in `wanted`, and a few more.
+
+    Texts are not shuffled: a filter of the wanted ids goes to them.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(bloom_words(wanted, "doc_id"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(words.value, batch.column(2).to_numpy())))
             sets = [np.unique(shingle_hashes(word_hashes(t), ngram)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
+    return docs.select("doc_id", "text", key_hash("doc_id").alias("h")).mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
 
 
 def differing_bits(a: str, b: str, words: int = SKETCH_BITS // 64) -> Column:
@@ -155,8 +161,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialize(shingle_sets(text.join(wanted, "doc_id", "left_semi"), ngram).where(F.size("shingles") > 0), f"sets_{name}")
+        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+        sets = materialize(shingle_sets(text, wanted, ngram).where(F.size("shingles") > 0), f"sets_{name}")
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
         return materialize(shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), f"links_{name}")
