@@ -54,20 +54,24 @@ def odd_sketch(sample: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(parity).view(np.int64)
 
 
-def sketched_similarity(differing: Column | int, samples: Column | int) -> Column:
-    """Similarity estimated from the differing bits of two sketches and the sum of their sample sizes.
+def sketched_common(differing: Column, samples: Column) -> Column:
+    """Values that two samples share, from the differing bits of their sketches and the sum of the samples' sizes.
 
-    n parities that differ stand for -n/2 ln(1 - 2 z / n) values that only one of the samples has.
+    z parities of n that differ stand for -n/2 ln(1 - 2 z / n) values that only one of the samples has.
     """
     odd = -SKETCH_BITS / 2 * F.log(F.greatest(1 - 2 * differing / F.lit(float(SKETCH_BITS)), F.lit(1e-9)))
-    return (samples - odd) / (samples + odd)
+    return (samples - odd) / 2
 
 
-def sketch_error(similarity: float, fewest: Column, largest: Column) -> Column:
-    """Standard error of the estimate near `similarity`: of the parities, and of samples smaller than their sets."""
-    q = (1 - similarity) / (1 + similarity)
-    parities = 1.3 * math.sqrt(2 / SKETCH_BITS) * 2 * q / (1 + q) ** 2
-    return F.sqrt(parities**2 + similarity * (1 - similarity) * F.greatest(1 / fewest - 1 / largest, F.lit(0.0)))
+def expected_common(similarity: float, sizes: Column, samples: Column) -> tuple[Column, Column]:
+    """Mean and standard error of `sketched_common` for two sets of a similarity, from the sums of their sizes and of their
+    samples' sizes: of the ranges that either set occupies, the two agree in as large a share as they are similar."""
+    union = sizes / (1 + similarity)
+    ranges = SAMPLE * (1 - F.exp(-union / SAMPLE))
+    mean = similarity * ranges
+    sampling = ranges * similarity * (1 - similarity) * F.greatest(1 - ranges / union, F.lit(0.0))
+    parities = 1.3 * math.sqrt(2 / SKETCH_BITS) * F.greatest(samples / 2 - mean, F.lit(0.0))
+    return mean, F.sqrt(sampling + parities * parities + 0.25)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: int, rows: int) -> DataFrame:
@@ -129,11 +133,11 @@ def differing_bits(a: str, b: str, words: int = SKETCH_BITS // 64) -> Column:
 
 
 def _plausible(percent: int) -> Column:
-    """Sizes that allow the similarity, and sketches whose estimate is not below it by SIGMAS standard errors."""
-    s = percent / 100
-    estimate = sketched_similarity(differing_bits("sk_a", "sk_b"), F.col("m_a") + F.col("m_b"))
-    error = sketch_error(s, F.least("m_a", "m_b"), F.greatest("n_a", "n_b"))
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate >= s - SIGMAS * error)
+    """Sizes that allow the similarity, and sketches whose estimate is not below what it gives by SIGMAS standard errors."""
+    samples = F.col("m_a") + F.col("m_b")
+    mean, error = expected_common(percent / 100, F.col("n_a") + F.col("n_b"), samples)
+    common = sketched_common(differing_bits("sk_a", "sk_b"), samples)
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (common >= mean - SIGMAS * error)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
