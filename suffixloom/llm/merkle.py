@@ -19,8 +19,8 @@ _SENTENCE = r"[^.!?|]{1,%d}[.!?|]*|[.!?|]+" % LONGEST
 def leaves(text: Column) -> Column:
     """Sentence hashes as array<array<array<string>>>: sections, paragraphs, sentences. Null is the empty text."""
     sentences = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_SENTENCE), F.lit(0)), lambda s: F.sha2(s, 256))
-    paragraphs = lambda s: F.transform(F.split(s, r"(?<=\n)(?!\n)"), sentences)
-    return F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=\n\n)(?!\n)"), paragraphs)
+    paragraphs = lambda s: F.transform(F.split(s, r"(?<=\n)(?!\n|\z)"), sentences)
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=\n\n)(?!\n|\z)"), paragraphs)
 
 
 def paragraph_hashes(leaf: Column) -> Column:
