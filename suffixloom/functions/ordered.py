@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -135,3 +135,35 @@ def run_lengths(df: DataFrame, keys: Sequence[str], ties: Sequence[str] = (), we
     fixed = local.join(F.broadcast(seams), "part").where("not (joins and index = 0)")
     length = F.col("len") + F.when(F.col("index") == F.col("last"), F.col("extra")).otherwise(0)
     return fixed.select((F.col("base") + F.col("index")).alias("run_id"), (F.col("shift") + F.col("start")).alias("start"), "sym", length.alias("len"))
+
+
+def _placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`df` stored in global order, with __part and __at: the partition, and the place in it."""
+    ordered = df.repartitionByRange(_parts(df), *keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    return stored(ordered.withColumn("__part", F.shiftright("__m", 33)).withColumn("__at", F.col("__m") % (1 << 33)).drop("__m"), "placed")
+
+
+def _shifts(placed: DataFrame, amount) -> DataFrame:
+    """(__part, __shift): the sum of `amount` in the partitions before, a row for each partition."""
+    rows, total = [], 0
+    for r in placed.groupBy("__part").agg(amount.alias("n")).orderBy("__part").collect():
+        rows.append((r["__part"], total))
+        total += r["n"]
+    return F.broadcast(placed.sparkSession.createDataFrame(rows, "__part bigint, __shift bigint"))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str = "number", first: int = 0) -> DataFrame:
+    """`df` with a number for each row in the order of `keys`, from `first` without gaps."""
+    placed = _placed(df, keys)
+    out = placed.join(_shifts(placed, F.count("*")), "__part")
+    return out.withColumn(name, F.col("__at") + F.col("__shift") + first).select(*df.columns, name)
+
+
+def sums_before(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """`df` with the sum of `value` over the rows before each in the order of `keys`, and `place`, its number from 1."""
+    placed = _placed(df, keys)
+    before = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("__inner", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    sums, counts = _shifts(placed, F.sum(value)), _shifts(placed, F.count("*")).withColumnRenamed("__shift", "__count")
+    out = local.join(sums, "__part").join(counts, "__part")
+    return out.withColumn(name, (F.col("__shift") + F.col("__inner")).cast("long")).withColumn("place", F.col("__count") + F.col("__at") + 1).select(*df.columns, name, "place")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import run_lengths
+from ..functions.ordered import numbered, run_lengths
 from ..functions.storage import stored
 from ..sources.collection import BYTES, INTEGERS, is_bytes
 from .suffix_order import _symbols, suffix_ranks
@@ -92,15 +92,7 @@ def phrase_ranks(phrases: DataFrame, of_bytes: bool) -> DataFrame:
 
 def dense_ranks(df: DataFrame, key: str) -> DataFrame:
     """`df` with `rank`: from 1 without gaps over the different values of a binary key."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(key).distinct().repartitionByRange(parts, key).sortWithinPartitions(key)
-    marked = stored(keys.select(key, F.monotonically_increasing_id().alias("m")).select(key, F.shiftright("m", 33).alias("part"), (F.col("m") % (1 << 33)).alias("i")), "dense")
-    sizes, at, shift = marked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect(), 1, []
-    for r in sizes:
-        shift.append((r["part"], at))
-        at += r["n"]
-    shifts = df.sparkSession.createDataFrame(shift, "part bigint, shift bigint")
-    return df.join(marked.join(F.broadcast(shifts), "part").select(key, (F.col("i") + F.col("shift")).alias("rank")), key)
+    return df.join(numbered(df.select(key).distinct(), [key], "rank", first=1), key)
 
 
 def phrase_suffixes(phrases: DataFrame, of_bytes: bool) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import sums_before
+
 
 def run_stats(runs: DataFrame) -> DataFrame:
     """One row: runs, alphabet, n, n_per_run, longest, shortest, and the least bytes that hold symbols and lengths."""
@@ -16,10 +18,9 @@ def run_stats(runs: DataFrame) -> DataFrame:
 
 def symbol_stats(runs: DataFrame, bits: int = 32) -> DataFrame:
     """(place, sym, runs, freq, space, space_before) by ascending number of runs, then symbol: the space of a symbol's runs
-    as 2 * `bits` bits each, and that of the symbols before it. One row for each symbol."""
+    as 2 * `bits` bits each, and that of the symbols before it."""
     by_sym = runs.groupBy("sym").agg(F.count("*").alias("runs"), F.sum("len").alias("freq")).withColumn("space", F.col("runs") * (2 * bits))
-    order = Window.orderBy("runs", "sym")
-    return by_sym.select(F.row_number().over(order).cast("long").alias("place"), "sym", "runs", "freq", "space", F.coalesce(F.sum("space").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("space_before"))
+    return sums_before(by_sym, ["runs", "sym"], "space", "space_before").select("place", "sym", "runs", "freq", "space", "space_before")
 
 
 def length_bins(runs: DataFrame) -> DataFrame:
