@@ -40,8 +40,8 @@ def whole_suffixes(strings: DataFrame) -> DataFrame:
     return at.select(F.expr(f"slice({INTEGERS}, p + 1, size({INTEGERS}))").alias("suffix"), "string_id", F.expr(f"if(p = 0, 0L, {INTEGERS}[p - 1])").alias("sym"))
 
 
-def ranked_symbols(strings: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(string_id, rank, sym): the symbol before each suffix."""
+def ranked_symbols(strings: DataFrame, ranks: DataFrame, members: DataFrame) -> DataFrame:
+    """(string_id, rank, sym): the symbol before each suffix, for all `members` (class_id, string_id) of each string."""
     of_bytes = is_bytes(strings)
     column = BYTES if of_bytes else INTEGERS
 
@@ -54,7 +54,8 @@ def ranked_symbols(strings: DataFrame, ranks: DataFrame) -> DataFrame:
                     part = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(syms[part]), sid, dtype=np.int64)), pa.array(order[part]), pa.array(syms[part])], names=["string_id", "rank", "sym"])
 
-    return strings.select("string_id", column).join(ranks, "string_id").select("string_id", column, "ranks").mapInArrow(run, "string_id bigint, rank bigint, sym bigint")
+    ranked = strings.select(F.col("string_id").alias("class_id"), column).join(ranks.withColumnRenamed("string_id", "class_id"), "class_id").join(members, "class_id")
+    return ranked.select("string_id", column, "ranks").mapInArrow(run, "string_id bigint, rank bigint, sym bigint")
 
 
 def build_bwt(strings: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -76,8 +77,7 @@ def build_bwt(strings: DataFrame, strategy: str = "auto") -> DataFrame:
 
         return build_from_parse(strings)
     kept, members = distinct_strings(strings)
-    symbols = ranked_symbols(kept, suffix_ranks(kept)).withColumnRenamed("string_id", "class_id")
-    return run_lengths(symbols.join(members, "class_id").select("rank", "string_id", "sym"), ["rank"], ["string_id"])
+    return run_lengths(ranked_symbols(kept, suffix_ranks(kept), members), ["rank"], ["string_id"])
 
 
 def expand(runs: DataFrame, null_symbol: int | None = None) -> DataFrame:

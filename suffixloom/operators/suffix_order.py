@@ -64,14 +64,14 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     rows = strings.select("string_id", column).mapInArrow(keys, "string_id bigint, pos bigint, k1 bigint, k2 bigint")
     ranked = smaller_rows(rows, ["k1", "k2"], ["string_id"], ["string_id", "pos"])
     # A tied rank is kept as its complement, a negative number.
-    state = ranked.groupBy("string_id").agg(F.collect_list(F.struct("pos", F.when(F.col("alone"), F.col("rank")).otherwise(-F.col("rank") - 1).alias("rank"))).alias("news"))
+    news = by_string(ranked.select("string_id", "pos", F.when(F.col("alone"), F.col("rank")).otherwise(-F.col("rank") - 1).alias("rank")))
 
     def fill(width: int):
         def run(batches):
             for batch in batches:
                 out, still = [], []
-                for old, news in zip(batch.column("ranks"), batch.column("news"), strict=True):
-                    pos, rank = (news.values.field(k).to_numpy() for k in (0, 1)) if news.is_valid else (np.zeros(0, dtype=np.int64),) * 2
+                for old, pos, rank in zip(*(batch.column(c) for c in ("ranks", "pos", "rank")), strict=True):
+                    pos, rank = (x.values.to_numpy() if x.is_valid else np.zeros(0, dtype=np.int64) for x in (pos, rank))
                     ranks = np.empty(len(pos), dtype=np.int64) if not old.is_valid else old.values.to_numpy().copy()
                     ranks[pos] = rank
                     tail = ranks[max(0, len(ranks) - width) :]  # compared to its end
@@ -84,7 +84,7 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
 
     schema = "string_id bigint, ranks array<bigint>, open bigint"
     none = F.lit(None).cast("array<bigint>").alias("ranks")
-    state = stored(state.select("string_id", none, "news").mapInArrow(fill(step), schema), "ranks")
+    state = stored(news.select("string_id", none, "pos", "rank").mapInArrow(fill(step), schema), "ranks")
     width = step
     while state.where("open > 0").limit(1).count():
         state = stored(_refined(state, width).mapInArrow(fill(2 * width), schema), "ranks")
@@ -92,8 +92,41 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     return state.select("string_id", "ranks")
 
 
+def by_string(rows: DataFrame) -> DataFrame:
+    """(string_id, pos ARRAY, rank ARRAY) of rows (string_id, pos, rank), by ascending position.
+
+    Rows come sorted, and a task cuts them where the string changes: no aggregate holds a row as an object.
+    """
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+
+        def out(columns):
+            ids, pos, rank = columns
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            offsets = pa.array(np.append(first, len(ids)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos, rank)]
+            return pa.RecordBatch.from_arrays([pa.array(ids[first]), *lists], names=["string_id", "pos", "rank"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last string may go on
+            if cut:
+                yield out([c[:cut] for c in columns])
+            held = [c[cut:] for c in columns]
+        if held is not None:
+            yield out(held)
+
+    ordered = rows.select("string_id", "pos", "rank").repartition("string_id").sortWithinPartitions("string_id", "pos")
+    return ordered.mapInArrow(run, "string_id bigint, pos array<bigint>, rank array<bigint>")
+
+
 def _refined(state: DataFrame, width: int) -> DataFrame:
-    """(string_id, ranks, news): the new ranks of suffixes that `width` more symbols told apart."""
+    """(string_id, ranks, pos, rank): the new ranks of suffixes that `width` more symbols told apart."""
 
     def tied(batches):
         for batch in batches:
@@ -107,5 +140,5 @@ def _refined(state: DataFrame, width: int) -> DataFrame:
     group = Window.partitionBy("rank").orderBy("next")
     told = rows.withColumn("before", F.rank().over(group).cast("long") - 1).withColumn("same", F.count("*").over(Window.partitionBy("rank", "next")))
     told = told.where("before > 0 or same = 1").withColumn("to", F.col("rank") + F.col("before"))
-    news = told.groupBy("string_id").agg(F.collect_list(F.struct("pos", F.when(F.col("same") == 1, F.col("to")).otherwise(-F.col("to") - 1).alias("rank"))).alias("news"))
-    return state.select("string_id", "ranks").join(news, "string_id", "left").select("string_id", "ranks", "news")
+    news = by_string(told.select("string_id", "pos", F.when(F.col("same") == 1, F.col("to")).otherwise(-F.col("to") - 1).alias("rank")))
+    return state.select("string_id", "ranks").join(news, "string_id", "left").select("string_id", "ranks", "pos", "rank")
