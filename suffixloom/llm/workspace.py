@@ -31,10 +31,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and return a reader of what was written."""
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    """Write `df` to the shared folder and return a reader of what was written.
+
+    Where a bound of its `rows` is known, narrow rows are dealt anew to files of `per_file`, instead of a file for each
+    task before: shared file systems bear few files better than many.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // per_file)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
