@@ -87,8 +87,8 @@ def suffix_ranks(strings: DataFrame) -> DataFrame:
     state = stored(news.select("string_id", none, "pos", "rank").mapInArrow(fill(step), schema), "ranks")
     width = step
     while state.where("open > 0").limit(1).count():
-        state = stored(_refined(state, width).mapInArrow(fill(2 * width), schema), "ranks")
-        width *= 2
+        state = stored(_refined(state, width).mapInArrow(fill(4 * width), schema), "ranks")
+        width *= 4
     return state.select("string_id", "ranks")
 
 
@@ -126,19 +126,24 @@ def by_string(rows: DataFrame) -> DataFrame:
 
 
 def _refined(state: DataFrame, width: int) -> DataFrame:
-    """(string_id, ranks, pos, rank): the new ranks of suffixes that `width` more symbols told apart."""
+    """(string_id, ranks, pos, rank): the new ranks of suffixes that three times `width` more symbols told apart.
+
+    A place beyond the string has rank -1; suffixes that differ in whether they reach it differ before.
+    """
+    ahead = ["next1", "next2", "next3"]
 
     def tied(batches):
         for batch in batches:
             for sid, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ranks = value.values.to_numpy()
                 pos = np.flatnonzero(ranks < 0)
-                plain = np.where(ranks < 0, -ranks - 1, ranks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), sid, dtype=np.int64)), pa.array(pos), pa.array(plain[pos]), pa.array(plain[pos + width])], names=["string_id", "pos", "rank", "next"])
+                plain = np.append(np.where(ranks < 0, -ranks - 1, ranks), -1)
+                later = [plain[np.minimum(pos + k * width, len(ranks))] for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), sid, dtype=np.int64)), pa.array(pos), pa.array(plain[pos]), *map(pa.array, later)], names=["string_id", "pos", "rank", *ahead])
 
-    rows = state.where("open > 0").select("string_id", "ranks").mapInArrow(tied, "string_id bigint, pos bigint, rank bigint, next bigint")
-    group = Window.partitionBy("rank").orderBy("next")
-    told = rows.withColumn("before", F.rank().over(group).cast("long") - 1).withColumn("same", F.count("*").over(Window.partitionBy("rank", "next")))
+    rows = state.where("open > 0").select("string_id", "ranks").mapInArrow(tied, "string_id bigint, pos bigint, rank bigint, " + ", ".join(f"{c} bigint" for c in ahead))
+    group = Window.partitionBy("rank").orderBy(*ahead)
+    told = rows.withColumn("before", F.rank().over(group).cast("long") - 1).withColumn("same", F.count("*").over(Window.partitionBy("rank", *ahead)))
     told = told.where("before > 0 or same = 1").withColumn("to", F.col("rank") + F.col("before"))
     news = by_string(told.select("string_id", "pos", F.when(F.col("same") == 1, F.col("to")).otherwise(-F.col("to") - 1).alias("rank")))
     return state.select("string_id", "ranks").join(news, "string_id", "left").select("string_id", "ranks", "pos", "rank")
