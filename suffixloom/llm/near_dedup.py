@@ -27,7 +27,7 @@ from .text import mix, shingle_hashes, word_hashes
 from .workspace import materialize, small_batches
 
 #: Bits of an odd sketch, ranges of the MinHash sample in it, and standard errors that rule a pair out.
-SKETCH_BITS, SAMPLE, SIGMAS = 2048, 1024, 5.0
+SKETCH_BITS, SAMPLE, SIGMAS = 2048, 2048, 5.0
 
 
 def minhash(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -151,28 +151,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     signed = materialize(signatures(docs, id_col, text_col, ngram, bands, rows), "signatures")
+    n = signed.count()
     classes = materialize(
-        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first(F.struct("bands", "n_samples", "sketch")).alias("s")).select("node", "set_key", "n", F.col("s.n_samples").alias("m"), "s.bands", "s.sketch"), "classes"
+        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first(F.struct("bands", "n_samples", "sketch")).alias("s")).select("node", "set_key", "n", F.col("s.n_samples").alias("m"), "s.bands", "s.sketch").coalesce(1 + n // 20_000), "classes"
     )
     side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("node", ""), ("n", "n_"), ("m", "m_"), ("sketch", "sk_"))]
 
     members = classes.select("node", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    crowd = materialize(members.join(crowded, "key").where("node <> pivot").groupBy("pivot", "node").agg(F.max("size").alias("size")), "buckets")
+    crowd = materialize(members.join(crowded, "key").where("node <> pivot").groupBy("pivot", "node").agg(F.max("size").alias("size")).coalesce(1 + n // 50_000), "buckets")
+    n_crowd = crowd.count()
     stars = crowd.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    stars = materialize(stars.join(classes.select(*side("a")), "a").join(classes.select(*side("b")), "b").where(_plausible(percent)).select("a", "b"), "stars")
+    stars = materialize(stars.join(classes.select(*side("a")), "a").join(classes.select(*side("b")), "b").where(_plausible(percent)).select("a", "b"), "stars", n_crowd)
 
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def confirmed(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n_pairs = pairs.count()
         wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
         sets = materialize(shingle_sets(text, wanted, ngram).where(F.size("shingles") > 0), f"sets_{name}")
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-        return materialize(shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), f"links_{name}")
+        found = materialize(shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), f"links_{name}", n_pairs)
+        return found, found.count()
 
-    links = confirmed(stars, "stars")
-    labels = materialize(components(links), "labels")
+    links, n_links = confirmed(stars, "stars")
+    labels = materialize(components(links, n_links), "labels", 2 * n_links)
 
     # What the pivots left open: members of one bucket in different components. Buckets of one pivot are taken together,
     # so that two members meet once and not in every bucket that they share.
@@ -180,15 +184,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owned = crowd.where("size > 2").join(label_of("node"), "node", "left").join(label_of("pivot"), "pivot", "left")
     owned = owned.select("pivot", "node", F.coalesce("c_node", "node").alias("c"), F.coalesce("c_pivot", "pivot").alias("main"))
     mixed = owned.groupBy("pivot").agg(F.sum((F.col("c") != F.col("main")).cast("int")).alias("open"), F.count("*").alias("all")).where("open > 0 and all > 1").select("pivot")
-    rest = materialize(owned.join(mixed, "pivot").join(classes.drop("bands", "set_key"), "node").withColumn("in_main", F.col("c") == F.col("main")), "rest")
-    left = rest.where("not in_main").select(F.col("pivot").alias("p_a"), F.col("c").alias("c_a"), *side("a"))
-    right = rest.select(F.col("pivot").alias("p_b"), F.col("c").alias("c_b"), *side("b"), "in_main")
-    more = left.join(right, (F.col("p_a") == F.col("p_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(percent))
-    more = materialize(more.select("a", "b").distinct(), "more")
+    open_rows = owned.join(mixed, "pivot")
+    pivots = open_rows.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))  # at most one for each band
+    rest = open_rows.join(pivots, "node").join(classes.drop("bands", "set_key"), "node").withColumn("in_main", F.col("c") == F.col("main"))
+    rest = materialize(rest.coalesce(1 + n_crowd // 20_000), "rest")
+    left = rest.where("not in_main").select(F.col("pivot").alias("p_a"), F.col("pivots").alias("pivots_a"), F.col("c").alias("c_a"), *side("a"))
+    right = rest.select(F.col("pivot").alias("p_b"), F.col("pivots").alias("pivots_b"), F.col("c").alias("c_b"), *side("b"), "in_main")
+    once = F.col("p_a") == F.array_min(F.array_intersect("pivots_a", "pivots_b"))  # a pair meets at one of its pivots
+    more = left.join(right, (F.col("p_a") == F.col("p_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(percent) & once)
+    more = materialize(more.select("a", "b").distinct(), "more", n_crowd, 20_000)
     if not more.isEmpty():
-        extra = confirmed(more, "more")
-        if not extra.isEmpty():
-            labels = materialize(components(links.unionByName(extra)), "labels")
+        extra, n_extra = confirmed(more, "more")
+        if n_extra:
+            labels = materialize(components(links.unionByName(extra), n_links + n_extra), "labels", 2 * (n_links + n_extra))
 
     named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("links_class"))
     per_row = signed.select("doc_id", "n_shingles", "set_key")

@@ -20,7 +20,7 @@ def key_hash(key: str) -> Column:
 def bloom_words(keys: DataFrame, key: str) -> np.ndarray:
     """The filter of a column's values as BITS // 64 words: at most that many rows reach the driver."""
     h = key_hash(key)
-    places = keys.select(F.explode(F.array(h.bitwiseAND(BITS - 1), F.shiftrightunsigned(h, 32).bitwiseAND(BITS - 1))).alias("at"))
+    places = keys.select(key).distinct().select(F.explode(F.array(h.bitwiseAND(BITS - 1), F.shiftrightunsigned(h, 32).bitwiseAND(BITS - 1))).alias("at"))
     words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, dtype=np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
