@@ -17,8 +17,17 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def even_batches(spark: SparkSession, rows: int = 10_000, most_bytes: int = 32 << 20) -> None:
+    """Arrow batches that are bounded by bytes, and by rows no more than Spark's default does: rows here are narrow, and
+    the few wide ones, whole strings, are kept from filling a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+    if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) < rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df`, computed once and kept as Parquet in the shared folder."""
+    even_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/suffixloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
