@@ -55,8 +55,13 @@ def mix_in_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows as pieces of sequences of 2048 tokens."""
-    return pack(docs, public_path("word_bpe_49k.json"))
+    """All rows as pieces of sequences of 2048 tokens, which follow the mix.
+
+    Files keep no order when they are read, and stages no columns of their own; but a row's place in the mix follows from
+    the ids and sources alone, so it is worked out again here.
+    """
+    mixed = mix_sources(docs.select("doc_id", "text", "source"))
+    return pack(mixed, public_path("word_bpe_49k.json"), order=("__slot", "__place"))
 
 
 STAGES = [

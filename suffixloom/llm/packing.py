@@ -12,6 +12,7 @@ the class of its length and pads at most a (k + 1)-th of its sequence. The last
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from .tokens import encoder, public_path
 from .workspace import materialize, small_batches
 
@@ -43,17 +45,18 @@ def cut(total: int, capacity: int, smallest: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, smallest: int = 128, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, smallest: int = 128, end_id: int = 1, with_ids: bool = False, order: Sequence[str] = ()) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A document's tokens are those of its text by the tokenizer file and then `end_id`; a null or empty text is the one
     token `end_id`. Repeated rows and rows without an id are packed like any other. A sequence_id numbers the sequences
-    without gaps; offsets within one run without gaps from 0. Other columns of `docs` are not looked at; an empty table
-    gives no rows.
+    without gaps; offsets within one run without gaps from 0. `order` names integer columns by which documents follow each
+    other in the sequences. Other columns of `docs` are not looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark, 256)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("long").alias(f"order_{i}") for i, c in enumerate(order)])
+    by = [f"order_{i}" for i in range(len(order))]
     kind = source.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -73,25 +76,45 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         ids.append(np.frombuffer(piece, dtype="<u4").astype(np.int32))
                     at += size
             columns = [batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(cls, pa.int32()), pa.array([worker] * len(of), pa.int32()), pa.array(number, pa.int64())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "number"]
+            columns += [batch.column(c).take(pa.array(of, pa.int64())) for c in by]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "number", *by]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
-    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker int, number bigint" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker int, number bigint" + "".join(f", {c} bigint" for c in by) + ", ids array<int>" * with_ids
     pieces = materialize(source.mapInArrow(run, schema), "pieces")
 
+    per_bin = F.when(F.col("class") >= UNEVEN, F.col("class") - UNEVEN).otherwise(F.col("class")).cast("long")
+    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class"] + ["ids"] * with_ids
+    if by:
+        return _offsets(_in_order(pieces, per_bin, by), out)
+
     # Counts of (class, worker): at most some hundred classes, a row for each worker.
     per_worker = pieces.groupBy("class", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     shifts = materialize(per_worker.select("class", "worker", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")), "shifts")
-    per_bin = F.when(F.col("class") >= UNEVEN, F.col("class") - UNEVEN).otherwise(F.col("class")).cast("long")
     bins = shifts.groupBy("class").agg(F.ceil(F.sum("n") / F.first(per_bin)).cast("long").alias("bins"))
     earlier = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # a row for each class
     first = bins.select("class", F.coalesce(F.sum("bins").over(earlier), F.lit(0)).alias("first"))
     placed = shifts.select("class", "worker", "shift").join(F.broadcast(first), "class")
 
-    numbered = pieces.join(placed, ["class", "worker"]).withColumn("number", F.col("shift") + F.col("number"))
-    located = numbered.withColumn("slot", F.col("number") % per_bin).withColumn("sequence_id", F.col("first") + ((F.col("number") - F.col("slot")) / per_bin).cast("long"))
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class"] + ["ids"] * with_ids
+    dealt = pieces.join(placed, ["class", "worker"]).withColumn("number", F.col("shift") + F.col("number"))
+    located = dealt.withColumn("slot", F.col("number") % per_bin).withColumn("sequence_id", F.col("first") + ((F.col("number") - F.col("slot")) / per_bin).cast("long"))
+    return _offsets(located, out)
+
+
+def _in_order(pieces: DataFrame, per_bin, by: list[str]) -> DataFrame:
+    """`pieces` with slot and sequence_id: pieces of a class in the order `by`, sequences in that of their first pieces."""
+    keys = [*by, "start"]
+    ranked = numbered(pieces.drop("worker", "number"), ["class", *keys], "number")
+    first = ranked.groupBy("class").agg(F.min("number").alias("first"))  # a row for each class
+    ranked = ranked.join(F.broadcast(first), "class").withColumn("number", F.col("number") - F.col("first"))
+    binned = ranked.withColumn("slot", F.col("number") % per_bin).withColumn("bin", ((F.col("number") - F.col("slot")) / per_bin).cast("long"))
+    sequences = numbered(binned.where("slot = 0").select("class", "bin", *keys), [*keys, "class", "bin"], "sequence_id")
+    return binned.join(sequences.select("class", "bin", "sequence_id"), ["class", "bin"])
+
+
+def _offsets(located: DataFrame, out: list[str]) -> DataFrame:
+    """`out` of pieces with slot and sequence_id."""
     even = located.where(F.col("class") < UNEVEN).withColumn("offset", F.col("slot") * F.col("length")).select(*out)
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     uneven = located.where(F.col("class") >= UNEVEN).withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).select(*out)

@@ -98,3 +98,22 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
                 assert out.columns == docs.columns
                 docs = spark.read.parquet(path)
         assert (spark.read.parquet(path).count() > 0) == bool(data and docs.count())
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Shares of a small source in the first sequences are its weight's, whatever the order of the rows that are read."""
+    rows = [(i, f"word{i} " * (20 + i * 7 % 60), "small" if i % 11 == 0 else "hot") for i in range(9900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    corpus_pipeline.mix_in_order(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")).orderBy("source", "doc_id"), SF).collect()
+    last = max(r["sequence_id"] for r in got)
+    assert {r["sequence_id"] for r in got} == set(range(last + 1)) and sum(r["length"] for r in got if r["start"] == 0) > 0
+    weight = 900**0.5 / (900**0.5 + 9000**0.5)
+    for part in (0.1, 0.15, 0.2, 0.25):
+        first = [r for r in got if r["sequence_id"] < part * last]
+        small = sum(r["length"] for r in first if r["doc_id"] % 11 == 0) / sum(r["length"] for r in first)
+        assert abs(small - weight) < 0.06, (part, small, weight)
+    offsets = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == offsets.get(r["sequence_id"], 0) and r["offset"] + r["length"] <= 2048
+        offsets[r["sequence_id"]] = r["offset"] + r["length"]
