@@ -28,10 +28,11 @@ from .trees import Node, forest
 NAMES = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    rf"|(?<![A-Za-z0-9_.-])(?>[A-Za-z0-9_.-]*)(?=[\x22\x27]?\s{{0,4}}[:=])(?<={NAMES})[\x22\x27]?\s{{0,4}}[:=]\s{{0,4}}[\x22\x27]?[^\s\x22\x27<>,;]{{6,}}"
     rf"|{NAMES}[\x22\x27]?\s{{0,4}}[:=]\s{{0,4}}[\x22\x27]?[^\s\x22\x27<>,;]{{6,}}"
     r"|[A-Za-z0-9_+/=-]{16,}(?:\.[A-Za-z0-9_-]{10,}){0,2}"
 )
-_VALUE = r"(?s)^(?!-----).{2,24}?[:=]\s{0,4}[\x22\x27]?([^\s\x22\x27<>,;]{6,})$"
+_VALUE = r"(?s)^(?!-----)[^:=]{2,}?[:=]\s{0,4}[\x22\x27]?([^\s\x22\x27<>,;]{6,})$"
 #: Common words and word parts that make up identifiers and prose.
 DICTIONARY = (
     "able access account action address admin after agent album amount and answer apple array article author back base before begin big block board body book box build button call car case cell change char check child city class clean click client close cloud code color column command comment company config connect content control copy count cover create data date day debug default delete detail device dir document domain down draw drive edit element email end engine enter error event example extra field file filter find first float folder form format frame free from function game get global good graph green group hand handle head header height help high home host house image index info init input int item job key kind label language large last layer left length level library light limit line link list load local lock log long loop main make manager map mark master match max media member memory menu message method min model module month move name net new next node note number object off open option order out output owner page paper parent part path people phone place plan point port post power price print private process product profile project property public query question read record ref region release remote render report request reset resource response rest result return right role root row rule run sample save schema scope screen script search section select send sequence series server service session set shape share short show side sign simple site size small sort sound source space start state status step stop store stream string style sub support switch system table tag target task team temp test text the theme thing this time title token tool total track train tree type unit update upload upper url user util valid value version video view visit voice wait walk water web week white width window word work world write year zone"

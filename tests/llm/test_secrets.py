@@ -66,3 +66,11 @@ def test_query_finds_what_was_planted(spark):
     planted = {(i, m.start(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
     got = secrets.op2_secret_scan(spark, sf).collect()
     assert {(r["doc_id"], r["start"]) for r in got} == planted
+
+
+def test_values_of_long_names(spark):
+    """The value is the candidate, with its name beside it, however long the name is."""
+    values = {"client_app_access_token = ": "Xy12ab!9qz", "PRODUCTION_DATABASE_PASSWORD: ": "hunter2!x9", "my_service_account_client_secret=": "aB3dE5fG7hJ9kL1m"}
+    rows = spark.createDataFrame([(f"see {name}{value} here", value) for name, value in values.items()], "text string, value string")
+    got = secrets.with_candidates(rows, "text").selectExpr("value", "__found.v AS v", "__found.named AS named").collect()
+    assert len(got) == 3 and all((r["v"], r["named"]) == ([r["value"]], [1.0]) for r in got)
