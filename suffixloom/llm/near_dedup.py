@@ -6,9 +6,10 @@ one permutation, which is folded into a bitmap of parities (an odd sketch): the
 how many values differ, with a standard error of about 0.01 in similarity.
 
 Candidates of a bucket are its members against one pivot, not all pairs: the number of rows grows with the members. Pairs
-that the sketches rule out by a wide margin go, the others are compared as full sets. Members that are not yet in their
-pivot's component are then compared, within the bucket, with those in other components, so that no link which two
-documents of one bucket have is lost. At 5 rows and 40 bands a pair at similarity 0.8 shares no bucket once in 10 million.
+that the sketches rule out by a wide margin go, the others are compared as full sets. What is then left open are pairs of
+one bucket of which at least one is not similar to the pivot's component. They are looked for among the *differences* from
+a common reference, see `open_candidates`, which loses none of them and does not compare all pairs either. At 5 rows and 40
+bands a pair at similarity 0.8 shares no bucket once in 10 million.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .prefilter import bloom_words, key_hash, may_hold
+from .prefilter import map_wanted
 from .text import mix, shingle_hashes, word_hashes
 from .workspace import materialize, small_batches
 
@@ -108,20 +109,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, ngram: int, bands: i
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """(doc_id, shingles array<bigint>) of the rows of (doc_id, text) whose doc_id is in `wanted`, and a few more.
-
-    Texts are not shuffled: a filter of the wanted ids goes to them.
-    """
-    words = docs.sparkSession.sparkContext.broadcast(bloom_words(wanted, "doc_id"))
+    """(doc_id, set_id, shingles array<bigint>) of the rows of (doc_id, text) with words whose doc_id is in `wanted`, and of a
+    few more. set_id tells the sets of one doc_id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(may_hold(words.value, batch.column(2).to_numpy())))
             sets = [np.unique(shingle_hashes(word_hashes(t), ngram)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text", key_hash("doc_id").alias("h")).mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
+    sets = map_wanted(docs.select("doc_id", "text"), wanted, "doc_id", run, f"doc_id {kind}, shingles array<bigint>")
+    return sets.where(F.size("shingles") > 0).select("doc_id", F.xxhash64("shingles").alias("set_id"), "shingles")
 
 
 def differing_bits(a: str, b: str, words: int = SKETCH_BITS // 64) -> Column:
@@ -140,6 +138,61 @@ def _plausible(percent: int) -> Column:
     return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (common >= mean - SIGMAS * error)
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
+    side = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
+    return shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
+
+
+def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, h, a, m, c, n, r, d, slack, open) of members (g, a, c): the elements `d` that only one of a and g has, the sizes n
+    and r of their sets (which have the ids m and h), and whether the two are not similar.
+
+    For sets a and b with x and y elements in their differences from g, |a ^ b| = x + y - 2 o, where o is the number of
+    elements in both differences; they are similar if |a ^ b| <= k (|a| + |b|) with k = (100 - percent) / (100 + percent).
+    So 2 (100 + percent) o must be at least slack(a) + slack(b), slack(a) = (100 + percent) x - (100 - percent) |a|.
+    """
+    side = lambda c, i, s: sets.select(F.col("doc_id").alias(c), F.col("set_id").alias(i), F.col("shingles").alias(s))
+    both = members.where("a <> g").join(side("a", "m", "x"), "a").join(side("g", "h", "y"), "g")
+    sized = both.select("g", "h", "a", "m", "c", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("r"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    slack = (100 + percent) * F.size("d") - (100 - percent) * F.col("n")
+    return sized.withColumn("slack", slack.cast("long")).withColumn("open", F.col("slack") > (100 - percent) * F.col("r"))
+
+
+def open_candidates(moved: DataFrame, percent: int) -> DataFrame:
+    """(a, b), once each and a < b: all pairs of one g in `differences` that may be similar, but for those of one component.
+
+    Two that are both similar to g are of its component. Of any other pair one is open, so its slacks sum to more than 0 and
+    it must share an element of its differences. Elements that only one component has are left out, the others of each
+    member are put in one order, rare ones first. If the first shared one is at place i of p in a's list, then
+    o <= p - i, so that slack(b) <= 2 (100 + percent) (p - i) - slack(a) =: reach(a, i), and the same the other way round.
+    Random edits of one text share few of their differences, and hardly any pair of them meets these bounds. Rows meet by g,
+    element and the classes of both slacks, so that most pairs that fail the bounds do not meet at all.
+    """
+    own = F.when(F.col("open"), F.col("c")).otherwise(F.col("g"))
+    group, member = ["g", "h"], ["g", "h", "a", "m"]
+    elements = moved.select(*member, own.alias("c"), F.explode("d").alias("e"))
+    shared = elements.groupBy(*group, "e").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*group, "e", "f")
+    lists = elements.join(shared, [*group, "e"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("l"))
+    # The smallest slack that a partner can have: similar sets have similar sizes; that of one similar to g is open.
+    least = F.when(F.col("open"), F.floor(-(100 - percent) * F.col("n") * 100 / percent)).otherwise((100 - percent) * F.col("r") + 1)
+    wide = F.greatest(F.floor((100 + percent) * F.col("r") / 6), F.lit(1))
+    facts = moved.select(*member, own.alias("c"), "open", "slack", least.cast("long").alias("least"), wide.cast("long").alias("wide"))
+    reach = 2 * (100 + percent) * (F.size("l") - F.col("i")) - F.col("slack")
+    rows = lists.join(facts, member).select("*", F.posexplode(F.transform("l", lambda x: x.e)).alias("i", "e")).withColumn("reach", reach.cast("long")).where("reach >= least")
+    class_of = lambda x: F.floor(F.col(x) / F.col("wide")).cast("long")
+    others = F.explode(F.sequence(class_of("least"), class_of("reach")))
+    rows = materialize(rows.select(*group, "e", "a", "c", "open", "slack", "reach", class_of("slack").alias("own"), others.alias("other")), "differing")
+    facts_of = lambda x: [F.col(n).alias(f"{n}_{x}") for n in ("a", "c", "slack", "reach")]
+    left = rows.where("open").select(*group, "e", "own", "other", *facts_of("a"))
+    right = rows.select(*group, "e", F.col("own").alias("other"), F.col("other").alias("own"), "open", *facts_of("b"))
+    fits = F.expr("c_a <> c_b and (not open or a_a < a_b) and slack_b <= reach_a and slack_a <= reach_b")
+    pairs = left.join(right, [*group, "e", "own", "other"]).where(fits)
+    return pairs.select(F.least("a_a", "a_b").alias("a"), F.greatest("a_a", "a_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, links_class) for every row of `docs`.
 
@@ -149,56 +202,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several rows carry stands for one document, with the links of all of them. Rows without an id stay, with a null
     component_id and kept true. Other columns of `docs` are not looked at. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     signed = materialize(signatures(docs, id_col, text_col, ngram, bands, rows), "signatures")
     n = signed.count()
-    classes = materialize(
-        signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first(F.struct("bands", "n_samples", "sketch")).alias("s")).select("node", "set_key", "n", F.col("s.n_samples").alias("m"), "s.bands", "s.sketch").coalesce(1 + n // 20_000), "classes"
-    )
-    side = lambda x: [F.col(c).alias(f"{d}{x}") for c, d in (("node", ""), ("n", "n_"), ("m", "m_"), ("sketch", "sk_"))]
+    sketched = F.struct("bands", "n_samples", "sketch")
+    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first(sketched).alias("s"))
+    classes = materialize(classes.select("node", "set_key", "n", F.col("s.n_samples").alias("m"), "s.bands", "s.sketch").coalesce(1 + n // 20_000), "classes")
+    side = lambda x: classes.select(*[F.col(c).alias(f"{d}{x}") for c, d in (("node", ""), ("n", "n_"), ("m", "m_"), ("sketch", "sk_"))])
 
     members = classes.select("node", F.explode("bands").alias("key"))
     crowded = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    crowd = materialize(members.join(crowded, "key").where("node <> pivot").groupBy("pivot", "node").agg(F.max("size").alias("size")).coalesce(1 + n // 50_000), "buckets")
+    crowd = members.join(crowded, "key").where("node <> pivot").groupBy("pivot", "node").agg(F.max("size").alias("size"))
+    crowd = materialize(crowd.coalesce(1 + n // 50_000), "buckets")
     n_crowd = crowd.count()
-    stars = crowd.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    stars = materialize(stars.join(classes.select(*side("a")), "a").join(classes.select(*side("b")), "b").where(_plausible(percent)).select("a", "b"), "stars", n_crowd)
-
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-
-    def confirmed(pairs: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n_pairs = pairs.count()
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-        sets = materialize(shingle_sets(text, wanted, ngram).where(F.size("shingles") > 0), f"sets_{name}")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-        found = materialize(shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), f"links_{name}", n_pairs)
-        return found, found.count()
-
-    links, n_links = confirmed(stars, "stars")
-    labels = materialize(components(links, n_links), "labels", 2 * n_links)
-
-    # What the pivots left open: members of one bucket in different components. Buckets of one pivot are taken together,
-    # so that two members meet once and not in every bucket that they share.
-    label_of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    owned = crowd.where("size > 2").join(label_of("node"), "node", "left").join(label_of("pivot"), "pivot", "left")
-    owned = owned.select("pivot", "node", F.coalesce("c_node", "node").alias("c"), F.coalesce("c_pivot", "pivot").alias("main"))
-    mixed = owned.groupBy("pivot").agg(F.sum((F.col("c") != F.col("main")).cast("int")).alias("open"), F.count("*").alias("all")).where("open > 0 and all > 1").select("pivot")
-    open_rows = owned.join(mixed, "pivot")
-    pivots = open_rows.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))  # at most one for each band
-    rest = open_rows.join(pivots, "node").join(classes.drop("bands", "set_key"), "node").withColumn("in_main", F.col("c") == F.col("main"))
-    rest = materialize(rest.coalesce(1 + n_crowd // 20_000), "rest")
-    left = rest.where("not in_main").select(F.col("pivot").alias("p_a"), F.col("pivots").alias("pivots_a"), F.col("c").alias("c_a"), *side("a"))
-    right = rest.select(F.col("pivot").alias("p_b"), F.col("pivots").alias("pivots_b"), F.col("c").alias("c_b"), *side("b"), "in_main")
-    once = F.col("p_a") == F.array_min(F.array_intersect("pivots_a", "pivots_b"))  # a pair meets at one of its pivots
-    more = left.join(right, (F.col("p_a") == F.col("p_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & _plausible(percent) & once)
-    more = materialize(more.select("a", "b").distinct(), "more", n_crowd, 20_000)
-    if not more.isEmpty():
-        extra, n_extra = confirmed(more, "more")
-        if n_extra:
-            labels = materialize(components(links.unionByName(extra), n_links + n_extra), "labels", 2 * (n_links + n_extra))
-
-    named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("links_class"))
+    # An id that rows with several sets carry links their classes.
+    texts = signed.where("set_key is not null and doc_id is not null").select("doc_id", "set_key")
+    several = texts.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
+    same_id = materialize(texts.join(several, "doc_id").join(classes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "same_id", 1)
+    n_same = same_id.count()
+    if n_crowd or n_same:
+        wanted = crowd.select(F.explode(F.array("pivot", "node")).alias("doc_id"))
+        text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        sets = materialize(shingle_sets(text, wanted, ngram), "sets")
+        stars = crowd.select(F.col("node").alias("a"), F.col("pivot").alias("b")).join(side("a"), "a").join(side("b"), "b").where(_plausible(percent)).select("a", "b")
+        links = materialize(confirmed(stars, sets, percent).unionByName(same_id).distinct(), "links", n_crowd + n_same)
+        n_links = links.count()
+        labels = materialize(components(links, n_links), "labels", 2 * n_links)
+
+        label_of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+        owned = crowd.where("size > 2").join(label_of("node"), "node", "left").join(label_of("pivot"), "pivot", "left")
+        owned = owned.select(F.coalesce("c_pivot", "pivot").alias("g"), F.col("node").alias("a"), F.coalesce("c_node", "node").alias("c"), "pivot")
+        owned = materialize(owned.select("g", F.explode(F.array(F.struct("a", "c"), F.struct(F.col("pivot").alias("a"), F.col("g").alias("c")))).alias("m")).select("g", "m.a", "m.c").distinct(), "owned", 2 * n_crowd)
+        mixed = owned.where("a <> g").groupBy("g").agg(F.max((F.col("c") != F.col("g")).cast("int")).alias("open"), F.count("*").alias("n")).where("open = 1 and n > 1").select("g")
+        moved = materialize(differences(owned.join(mixed, "g"), sets, percent), "differences")
+        late = moved.where("c <> g and not open").select("a", F.col("g").alias("b"))
+        late = late.unionByName(confirmed(materialize(open_candidates(moved, percent), "open"), sets, percent))
+        late = materialize(late.distinct(), "late_links", n_crowd)
+        n_late = late.count()
+        if n_late:
+            labels = materialize(components(links.unionByName(late), n_links + n_late), "labels", 2 * (n_links + n_late))
+        named = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"), F.col("node").alias("links_class"))
+    else:
+        named = classes.select("set_key", F.col("node").alias("component_id"), F.col("node").alias("links_class"))
+
     per_row = signed.select("doc_id", "n_shingles", "set_key")
     joined = per_row.where("set_key is not null and doc_id is not null").join(named, "set_key").select("doc_id", "n_shingles", "component_id", "links_class")
     alone = per_row.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("links_class"))

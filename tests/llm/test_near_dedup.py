@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from suffixloom.llm import graph, near_dedup
 from suffixloom.llm.text import shingle_hashes, word_hashes
@@ -69,6 +70,46 @@ def test_a_member_that_misses_its_pivot_is_still_linked(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("copies", [60, 240])
+def test_large_families_of_which_many_are_not_similar(spark, tmp_path, copies, monkeypatch):
+    """Random edits of one text, up to a quarter of its words, and a family within the family: no link is lost, and the
+    pairs that are looked at do not grow with the square of the family."""
+    rng = random.Random(copies)
+    base = [f"v{i}" for i in range(150)]
+    other = [f"u{i}" if i < 25 else w for i, w in enumerate(base)]
+    texts = family(rng, base, copies, 26) + family(rng, other, copies // 2, 20)
+    rows = list(enumerate(texts))
+    looked = []
+    plain = near_dedup.open_candidates
+    monkeypatch.setattr(near_dedup, "open_candidates", lambda moved, percent: (looked.append(plain(moved, percent)), looked[-1])[1])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram=2)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows, 2, 80)
+    assert looked[0].count() <= 4 * len(texts)
+
+
+def test_candidates_lose_no_link_of_a_group(spark):
+    """All pairs of one group that are similar and of different components are candidates, whatever the components are."""
+    rng = random.Random(3)
+    base = [f"v{i}" for i in range(90)]
+    texts = [" ".join(base)] + family(rng, base, 70, 16)
+    for _ in range(6):  # some share their edits
+        own = [w if rng.random() > 0.12 else f"x{rng.randrange(1000)}" for w in base]
+        texts += family(rng, own, 10, 5)
+    sets = [sorted({xxhash.xxh3_64_intdigest(repr(s).encode()) >> 1 for s in shingles(t, 2)}) for t in texts]
+    for percent in (80, 65):
+        frame = spark.createDataFrame([(i, i, s) for i, s in enumerate(sets)], "doc_id long, set_id long, shingles array<long>")
+        similar = lambda a, b: 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))  # noqa: B023, E731
+        component = [0 if similar(sets[0], s) else i for i, s in enumerate(sets)]
+        members = spark.createDataFrame([(0, i, c) for i, c in enumerate(component)], "g long, a long, c long")
+        moved = near_dedup.differences(members, frame, percent)
+        assert {r["a"]: r["open"] for r in moved.collect()} == {i: c != 0 for i, c in enumerate(component) if i}
+        got = {(r["a"], r["b"]) for r in near_dedup.open_candidates(moved, percent).collect()}
+        links = {(i, j) for j in range(1, len(sets)) for i in range(1, j) if component[i] != component[j] and similar(sets[i], sets[j])}
+        assert links and links <= got
+        confirmed = near_dedup.confirmed(spark.createDataFrame(sorted(got), "a long, b long"), frame, percent)
+        assert {(r["a"], r["b"]) for r in confirmed.collect()} == links
+
+
 def test_long_texts_against_all_pairs(spark):
     rng = random.Random(8)
     texts = []
@@ -85,6 +126,12 @@ def test_repeated_and_unnamed_rows(spark):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in got) == [(-1, 0, -1, True), (-1, 2, -1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
 
 
+def test_an_id_of_several_texts_is_one_document(spark):
+    rows = [(5, "a b c"), (5, "d e f"), (2, "a b c"), (3, "d e f"), (1, "g h i"), (6, "g h i"), (6, "j k l")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ngram=2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 2), (2, 2), (3, 2), (1, 1), (6, 1)}
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
