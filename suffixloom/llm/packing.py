@@ -45,6 +45,19 @@ def cut(total: int, capacity: int, smallest: int) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(batches, least: int = 4 << 20):
+    """Batches put together until they have `least` bytes: the more text at a time, the fewer lookups of a chunk."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, smallest: int = 128, end_id: int = 1, with_ids: bool = False, order: Sequence[str] = ()) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
@@ -58,23 +71,25 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("long").alias(f"order_{i}") for i, c in enumerate(order)])
     by = [f"order_{i}" for i in range(len(order))]
     kind = source.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches):
         encode, worker, counts = encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in _joined(batches):
             of, start, length, crc, total, cls, number, ids = [], [], [], [], [], [], [], []
-            for row, raw in enumerate(encode(batch.column(1).to_pylist())):
-                raw += end
-                n, at, view = len(raw) // 4, 0, memoryview(raw)
+            for row, raw in enumerate(encode(batch.column(1))):
+                raw = np.append(raw, end)
+                n, at = len(raw), 0
                 for size, k in cut(n, capacity, smallest):
-                    piece = view[4 * at : 4 * (at + size)]
+                    piece = raw[at : at + size]
                     of.append(row), start.append(at), length.append(size), crc.append(zlib.crc32(piece)), total.append(n), cls.append(k)
                     counts[k] = counts.get(k, -1) + 1
                     number.append(counts[k])
                     if with_ids:
-                        ids.append(np.frombuffer(piece, dtype="<u4").astype(np.int32))
+                        ids.append(piece.astype(np.int32))
                     at += size
+            if not of:
+                continue
             columns = [batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(cls, pa.int32()), pa.array([worker] * len(of), pa.int32()), pa.array(number, pa.int64())]
             columns += [batch.column(c).take(pa.array(of, pa.int64())) for c in by]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "worker", "number", *by]

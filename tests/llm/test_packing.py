@@ -1,9 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
+from suffixloom.llm import tokens
 from suffixloom.llm.packing import cut, op6_harmonic_packing, pack
 from suffixloom.llm.tokens import ChunkEncoder, public_path
 
@@ -14,8 +17,23 @@ ODD = ["", None, "a\x1cb", "<|endoftext|> x", "It's DON'T we'll x.'s 'S 're", "
 def test_encoder_equals_the_tokenizer():
     plain, fast = Tokenizer.from_file(PATH), ChunkEncoder(PATH, limit=50)
     texts = ODD + ["The cat. the CAT, cat! (cat) caté"] * 3
-    for text, got in zip(texts, fast.encode(texts), strict=True):
-        assert np.frombuffer(got, dtype="<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+    array = pa.array(["cut off", *texts, None])
+    for text, got in zip(texts, fast.encode(array.slice(1, len(texts))), strict=True):
+        assert got.tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_encoder_in_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "_TOGETHER", 40)
+    plain, fast = Tokenizer.from_file(PATH), ChunkEncoder(PATH)
+    texts = [" ".join(f"w{k}x" for k in range(i, i + i % 23)) for i in range(120)] + ODD
+    assert [x.tolist() for x in fast.encode(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert fast.encode(pa.array([], pa.string())) == []
+
+
+def test_encoder_on_documents():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").combine_chunks()
+    plain = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in ChunkEncoder(PATH).encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
 
 
 def test_cut():
