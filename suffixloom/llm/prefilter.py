@@ -21,9 +21,14 @@ def key_hash(key: str) -> Column:
     return F.xxhash64(key)
 
 
-def bloom_words(keys: DataFrame, key: str, bits: int) -> np.ndarray:
-    """The filter of distinct keys as bits // 64 words; `bits` is a power of two. At most that many rows reach the driver."""
-    h = key_hash(key)
+def bits_for(n: int) -> int:
+    """Bits of a filter of n keys, a power of two."""
+    return max(LEAST_BITS, 1 << (16 * n).bit_length())
+
+
+def bloom_words(keys: DataFrame, key: str, bits: int, hashed: bool = False) -> np.ndarray:
+    """The filter of distinct keys, which may be hashes already, as bits // 64 words. At most that many rows reach the driver."""
+    h = F.col(key) if hashed else key_hash(key)
     places = keys.select(F.explode(F.array(h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1))).alias("at"))
     words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
@@ -49,8 +54,7 @@ def map_wanted(rows: DataFrame, wanted: DataFrame, key: str, run: Callable, sche
     n = keys.count()
     if n > most_keys:
         return rows.join(keys, key, "left_semi").mapInArrow(run, schema)
-    bits = max(LEAST_BITS, 1 << (16 * n).bit_length())
-    words = rows.sparkSession.sparkContext.broadcast(bloom_words(keys, key, bits))
+    words = rows.sparkSession.sparkContext.broadcast(bloom_words(keys, key, bits_for(n)))
 
     def filtered(batches):
         for batch in batches:
