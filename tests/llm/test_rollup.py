@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from suffixloom.llm import token_rollup as tr
 from suffixloom.llm.workspace import fresh_path
@@ -35,8 +36,8 @@ def test_batches_are_signed_and_idempotent(spark):
     assert table.apply("b3", tr.revised(rows.where("lang = 'fr'"), new))
     expected = totals(tr.rolled_up(rows.where("lang is null").unionByName(new)))
     assert totals(table.totals()) == expected
-    table.compact()
-    assert totals(table.totals()) == expected and table.batches() == ["b1", "b2", "b3"] and len(table._committed()) == 1
+    assert table.compact()
+    assert totals(table.totals()) == expected and table.batches() == ["b1", "b2", "b3"] and len(table._log()[1]) == 1
     assert not table.apply("b2", tr.signed(rows, 1)) and totals(table.totals()) == expected
     assert table.apply("b4", tr.signed(new, -1)) and totals(table.totals()) == totals(tr.rolled_up(rows.where("lang is null")))
 
@@ -50,6 +51,66 @@ def test_another_handle_sees_the_commits(spark):
     assert tr.TokenRollup(spark, path).apply("empty", rows.limit(0))
 
 
+def test_two_writers(spark, monkeypatch):
+    """Another writer commits between a writer's look at the log and its own entry: the same id, and another one."""
+    path = fresh_path(spark, "rollup")
+    rows = tr.counted(docs_of(spark), {"words-1": tr.spaced_words})
+    one, other, write = tr.TokenRollup(spark, path), tr.TokenRollup(spark, path), tr.TokenRollup._write
+    meanwhile = iter(["same", "different"])
+
+    def slow(self, sums):
+        data = write(self, sums)
+        if self is one:
+            assert other.apply(next(meanwhile), rows)
+        return data
+
+    monkeypatch.setattr(tr.TokenRollup, "_write", slow)
+    assert not one.apply("same", rows)
+    assert one.apply("mine", rows)
+    assert tr.TokenRollup(spark, path).batches() == ["different", "mine", "same"] == one.batches()
+    assert sum(r["documents"] for r in one.totals().collect()) == 3 * len(DOCS)
+    meanwhile = iter(["during"])
+    assert not one.compact() and one.batches() == ["different", "during", "mine", "same"]
+
+
+def test_a_writer_that_is_lost(spark, monkeypatch):
+    """Whatever step a commit or a compaction stops at, totals are those before or after it, and it can be done again."""
+    table = tr.TokenRollup(spark, fresh_path(spark, "rollup"))
+    rows = tr.counted(docs_of(spark), {"words-1": tr.spaced_words})
+    for k in range(12):
+        assert table.apply(f"{k:02d}" * 100, rows)
+    expected = totals(table.totals())
+    assert expected == totals(tr.rolled_up(rows).selectExpr("source", "lang", "tokenizer", "documents * 12 as documents", "tokens * 12 as tokens"))
+
+    def lost(*args):
+        raise KeyboardInterrupt
+
+    for step in ("_write", "_append", "_drop"):
+        with monkeypatch.context() as m:
+            m.setattr(tr.TokenRollup, step, lost)
+            with pytest.raises(KeyboardInterrupt):
+                table.compact()
+            assert totals(tr.TokenRollup(spark, table.path).totals()) == expected
+            if step != "_drop":
+                with pytest.raises(KeyboardInterrupt):
+                    table.apply("new", rows)
+                assert totals(table.totals()) == expected and len(table.batches()) == 12
+    assert len(table._log()[1]) == 1  # the last one was in place before it stopped
+    assert table.apply("new", rows) and not table.apply("new", rows) and table.compact()
+    assert len(tr.TokenRollup(spark, table.path).batches()) == 13 and not table.compact()
+
+
+def test_many_batches(spark):
+    table = tr.TokenRollup(spark, fresh_path(spark, "rollup"))
+    data = table._write(tr.rolled_up(tr.counted(docs_of(spark))))
+    for k in range(1000):
+        assert table._append(k + 1, {"batches": [f"a batch with a long name, {k}"], "data": data, "compacted": False})
+    assert not table._append(7, {"batches": ["late"], "data": data, "compacted": False})
+    assert sum(r["documents"] for r in table.totals().collect()) == 2000 * len(DOCS)
+    assert table.compact() and len(table.batches()) == 1000
+    assert sum(r["documents"] for r in tr.TokenRollup(spark, table.path).totals().collect()) == 2000 * len(DOCS)
+
+
 def test_query_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
