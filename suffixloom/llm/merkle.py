@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import carried, restored
+
 LONGEST, SHORT = 160, 12
 _SENTENCE = r"[^.!?|]{1,%d}[.!?|]*|[.!?|]+" % LONGEST
 
@@ -64,9 +66,13 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
-    """`docs` with the fingerprint of every row's text; other columns stay as they are."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
-    return docs.select(*kept, leaves(F.col(text_col)).alias("__leaves")).withColumn(out_col, fingerprint(F.col("__leaves"))).drop("__leaves")
+    """`docs` with the fingerprint of every row's text, in place of a column of that name.
+
+    Null texts have that of the empty text; equal texts, repeated rows too, have equal ones; other columns stay as they are.
+    An empty table gives no rows.
+    """
+    rows = carried(docs, text=text_col).withColumn("leaves", leaves(F.col("text")))
+    return rows.select(*restored(docs, but=(out_col,), text=text_col), fingerprint(F.col("leaves")).alias(out_col))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, blocks: int | None = None) -> DataFrame:

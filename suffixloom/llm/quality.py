@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .trees import forest, paths
-from .workspace import small_batches
+from .workspace import carried, restored, small_batches
 
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "longest_word", "upper", "digit", "symbol", "stop_marks", "space", "accented",
@@ -152,10 +152,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
 
 
 def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 for every row; null and empty texts get the score of empty statistics."""
+    """`docs` with a score from 0 to 1 for every row, in place of a column of that name.
+
+    Null and empty texts get the score of empty statistics; repeated rows get theirs each; other columns stay as they are. An
+    empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
-    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col], statistics_column(text_col).alias("__statistics"))
-    return marked.withColumn(score_col, F.expr(model.sql("__statistics"))).drop("__statistics")
+    marked = carried(docs, text=text_col).withColumn("statistics", statistics_column("text"))
+    return marked.select(*restored(docs, but=(score_col,), text=text_col), F.expr(model.sql("statistics")).alias(score_col))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

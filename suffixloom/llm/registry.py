@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .media import op7_chroma_alignment
 from .merkle import op4_merkle_fingerprints
+from .mixing import ORACLE as MIXING
 from .mixing import op10_pfair_mixing
 from .near_dedup import op3_minhash_near_dedup
 from .packing import op6_harmonic_packing
@@ -28,4 +29,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL, where SQL can express the operator.
-ORACLES = {"op8_token_rollup": TOKEN_ROLLUP}
+ORACLES = {"op8_token_rollup": TOKEN_ROLLUP, "op10_pfair_mixing": MIXING}

@@ -16,13 +16,13 @@ from __future__ import annotations
 import random
 import string
 import uuid
-from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .trees import Node, forest
+from .workspace import carried, restored
 
 #: Names that secrets are assigned to, as a pattern.
 NAMES = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
@@ -177,14 +177,14 @@ def forest_sql(trees: list[Node], struct: str) -> str:
     return f"({' + '.join(one(t) for t in trees)}) / {len(trees)}D"
 
 
-@lru_cache(maxsize=4)
-def _default_forest(spark, trees: int, depth: int, n: int) -> tuple[Node, ...]:
-    return tuple(forest(*featurize(spark, labelled_findings(n)), trees, depth, leaf=3, seed=5, tries=6))
+_forests: dict[tuple[int, int, int], list[Node]] = {}
 
 
 def default_forest(spark, trees: int = 24, depth: int = 7, n: int = 4000) -> list[Node]:
-    """A forest trained on `n` rule-made findings."""
-    return list(_default_forest(spark, trees, depth, n))
+    """A forest trained on `n` rule-made findings; it is the same in every session."""
+    if (trees, depth, n) not in _forests:
+        _forests[trees, depth, n] = forest(*featurize(spark, labelled_findings(n)), trees, depth, leaf=3, seed=5, tries=6)
+    return list(_forests[trees, depth, n])
 
 
 def _judged(docs: DataFrame, text_col: str, model: list[Node] | None) -> DataFrame:
@@ -209,16 +209,18 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", model: list[Node] | None = None, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
-    """`docs` with the secrets in its texts replaced by `mask`, and all columns as they are; null texts stay null."""
-    names = docs.columns
-    rows = _judged(docs, text_col, model)
+    """`docs` with the secrets in its texts replaced by `mask`, and all other columns as they are, whatever their names.
+
+    Null texts stay null, empty ones and those without secrets as they are; repeated rows come out as often as they come in.
+    An empty table gives no rows.
+    """
+    rows = _judged(carried(docs, text=text_col), "text", model)
     clean = F.expr(
         "array_join(transform(__gaps, (g, i) -> concat(g, CASE WHEN i >= size(__matches) THEN '' "
         f"WHEN __scores[i] >= {threshold}D THEN concat(left(__matches[i], length(__matches[i]) - length(__found[i].v)), '{mask}') ELSE __matches[i] END)), '')"
     )
     hit = F.expr(f"exists(__scores, s -> s >= {threshold}D)")
-    text: Column = F.when(hit, clean).otherwise(F.col(f"`{text_col}`"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
+    return rows.withColumn("text", F.when(hit, clean).otherwise(F.col("text"))).select(*restored(docs, text=text_col))
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:

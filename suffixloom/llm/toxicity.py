@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fold
-from .workspace import small_batches
+from .workspace import carried, restored, small_batches
 
 SYMBOLS, ORDER, DISCOUNT, STRONG = 32, 4, 0.75, 3.0
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -161,15 +161,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 for every row. Without a model it is 0; a text without words has no evidence."""
+    """`docs` with a score from 0 to 1 for every row, in place of a column of that name.
+
+    Without a model it is 0; a text without words, null and empty ones too, has no evidence; repeated rows get theirs each;
+    other columns stay as they are. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession, 256)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != score_col]
+    rows, kept = carried(docs, text=text_col), restored(docs, but=(score_col,), text=text_col)
     if model is None:
-        return docs.select(*kept, F.lit(0.0).alias(score_col))
+        return rows.select(*kept, F.lit(0.0).alias(score_col))
     w = model.weights
-    marked = docs.select(*kept, evidence_column(model.table, text_col).alias("__evidence"))
-    z = F.col("__evidence.mean") * w[0] + F.col("__evidence.peak") * w[1] + F.col("__evidence.strong") * w[2] + w[3]
-    return marked.withColumn(score_col, 1 / (1 + F.exp(-z))).drop("__evidence")
+    marked = rows.withColumn("evidence", evidence_column(model.table, "text"))
+    z = F.col("evidence.mean") * w[0] + F.col("evidence.peak") * w[1] + F.col("evidence.strong") * w[2] + w[3]
+    return marked.select(*kept, (1 / (1 + F.exp(-z))).alias(score_col))
 
 
 def op5_toxicity_kneser_ney(spark, sf_dir: str) -> DataFrame:

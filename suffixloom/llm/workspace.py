@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[str] = []
 
@@ -54,6 +55,32 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def column(name: str) -> Column:
+    """A column by its plain name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(docs: DataFrame, **used: str) -> DataFrame:
+    """The columns of `docs` that are used, by names of our own, and the others in one struct `row`, where their names cannot
+    meet those of helper columns."""
+    others = [column(c) for c in docs.columns if c not in used.values()]
+    return docs.select(F.struct(F.lit(0).alias(""), *others).alias("row"), *[column(c).alias(name) for name, c in used.items()])
+
+
+def restored(docs: DataFrame, but: tuple[str, ...] = (), **used: str) -> list[Column]:
+    """The columns of `docs`, except `but`, from a frame that was made by `carried`."""
+    by_column = {c: name for name, c in used.items()}
+    return [(F.col(by_column[c]) if c in by_column else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in but]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, or a longer one, that no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows: a batch of long texts must fit beside the heap of an executor."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))

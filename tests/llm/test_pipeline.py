@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from suffixloom.llm import quality
+from suffixloom.llm import merkle, mixing, near_dedup, packing, quality, secrets, substring_dedup, token_rollup, toxicity
 from suffixloom.llm.tokens import public_path
 
 from .test_near_dedup import brute
@@ -100,6 +100,41 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
         assert (spark.read.parquet(path).count() > 0) == bool(data and docs.count())
 
 
+HELPERS = """row statistics evidence score draw range number block blocks slot turn round source_ of_source of_range shift local n
+    __slot_ __place_ __block_ __matches __gaps __found __scores __cut __around __statistics __leaves leaves matches gaps found
+    scores kept other_id first a b c x y m g h i l e f d tid key worker class start length ids order_0 set_key node prints at""".split()
+
+
+def test_columns_of_any_name_keep_their_values(spark, tmp_path):
+    """Columns named like the helpers of the operators and stages come out with the values that they went in with."""
+    rows = [(i, f'words {i} and token = "{"%040x" % (i * 7919 + 2**150)}" in a text that is long enough to be kept', "en", f"s{i % 3}", 9, *[f"{h}-{i}" for h in HELPERS]) for i in range(60)]
+    fields = ", ".join(f"`{h}` string" for h in [*HELPERS])
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {fields}")
+    docs = docs.withColumnsRenamed({"__slot_": "__slot", "__place_": "__place", "__block_": "__block"})
+    names = docs.columns[5:]
+    given = {r["doc_id"]: [r[c] for c in names] for r in docs.collect()}
+    scored = {
+        "quality": quality.score_quality(docs, quality.RuleModel(0.0, []), score_col="made"),
+        "toxicity": toxicity.score_toxicity(docs, toxicity.ToxicityModel(spark.sparkContext.broadcast(np.zeros(32**4, dtype=np.float32)), [1, 1, 1, 0]), score_col="made"),
+        "merkle": merkle.with_fingerprint(docs, out_col="made"),
+        "secrets": secrets.redact_secrets(docs),
+        "mixing": mixing.mix_sources(docs.drop("__slot", "__place", "__block")),
+    }
+    for name, frame in scored.items():
+        there = [c for c in names if name != "mixing" or not c.startswith("__")]
+        assert {r["doc_id"]: [r[c] for c in there] for r in frame.collect()} == {i: [v for c, v in zip(names, g, strict=True) if c in there] for i, g in given.items()}, name
+    assert all("[SECRET]" in r["text"] for r in scored["secrets"].collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        left = {r["doc_id"]: [r[c] for c in names] for r in out.collect()}
+        assert left and all(given[i] == values for i, values in left.items()), name
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= 60
+    by_id = (near_dedup.near_duplicates, substring_dedup.shared_passages, secrets.scan_secrets, lambda d: packing.pack(d, public_path("word_bpe_49k.json")), token_rollup.counted)
+    for operator in by_id:
+        operator(docs).collect()
+
+
 def test_sequences_follow_the_mix(spark, tmp_path):
     """Shares of a small source in the first sequences are its weight's, whatever the order of the rows that are read."""
     rows = [(i, f"word{i} " * (20 + i * 7 % 60), "small" if i % 11 == 0 else "hot") for i in range(9900)]
