@@ -15,53 +15,73 @@ from suffixloom.llm.packing import pack
 from suffixloom.llm.quality import fit_quality, score_quality
 from suffixloom.llm.secrets import redact_secrets
 from suffixloom.llm.tokens import public_path
-from suffixloom.llm.workspace import materialize
+from suffixloom.llm.workspace import carried, column, materialize, restored, unused
 
 QUALITY_AT_LEAST = 0.3
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+#: Ids that are sent to every task instead of shuffling whole texts: some 20 MB.
+MOST_SENT = 1_000_000
+
+_USED = {c: c for c in ("doc_id", "text", "source")}
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """`docs`, `carried`, with their places in the mix of sources at tempered weights."""
+    return mix_sources(carried(docs, **_USED))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose quality score is at least QUALITY_AT_LEAST; the model learns from the labelled rows of `docs`."""
+    """Rows whose quality score is at least QUALITY_AT_LEAST; the model learns from the labelled rows of `docs`.
+
+    Null and empty texts have the score of empty statistics; repeated rows are kept or not alike; an empty table gives none.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, model, score_col="__score")
-    return scored.where(F.col("__score") >= QUALITY_AT_LEAST).select(*_columns(docs))
+    score = unused(docs, "score")
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= QUALITY_AT_LEAST).select(*map(column, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five-word shingles, similarity 0.8): that of the smallest id.
 
-    Of rows that share an id one stays; rows without an id are in no group and stay.
+    Of rows that share an id one stays; rows without an id are in no group and stay, as do those without words. An empty
+    table gives none.
     """
-    kept = near_duplicates(docs, ngram=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*_columns(docs)))
-    chosen = chosen.withColumn("__first", F.row_number().over(first)).where("__first = 1").select(*_columns(docs))
-    return chosen.unionByName(docs.where("doc_id is null"))
+    near = near_duplicates(docs, ngram=5, percent=80).where("doc_id is not null").groupBy(F.col("doc_id").alias("other_id"))
+    near = materialize(near.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "near")
+    dropped, repeated = near.where("not kept").select("other_id"), near.where("kept").select("other_id")
+
+    def without(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+        return rows.join(ids, rows["doc_id"] == ids["other_id"], how)
+
+    chosen = without(docs, dropped, "left_anti")
+    if repeated.isEmpty():
+        return chosen
+    each = carried(without(chosen, repeated, "left_semi"), **_USED)
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", F.to_json("row")))
+    one = each.withColumn("number", F.row_number().over(first)).where("number = 1").select(*restored(docs, **_USED))
+    return without(chosen, repeated, "left_anti").unionByName(one)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with secrets masked in their texts and n_chars counted again."""
+    """All rows, with secrets masked in their texts and n_chars counted again; null texts stay null and keep their n_chars."""
     masked = redact_secrets(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else masked
 
 
 def mix_in_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, sorted by their place in the mix of sources at tempered weights."""
-    return mix_sources(docs).orderBy("__slot", "__place").select(*_columns(docs))
+    """All rows, sorted by their place in the mix of sources at tempered weights; null sources are one source."""
+    return _mixed(docs).orderBy("__slot", "__place").select(*restored(docs, **_USED))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows as pieces of sequences of 2048 tokens, which follow the mix.
+    """All rows as pieces of sequences of 2048 tokens, which follow the mix; a null or empty text is its end alone.
 
     Files keep no order when they are read, and stages no columns of their own; but a row's place in the mix follows from
-    the ids and sources alone, so it is worked out again here.
+    the rows alone, so it is worked out again here.
     """
-    mixed = mix_sources(docs.select("doc_id", "text", "source"))
-    return pack(mixed, public_path("word_bpe_49k.json"), order=("__slot", "__place"))
+    return pack(_mixed(docs), public_path("word_bpe_49k.json"), order=("__slot", "__place"))
 
 
 STAGES = [
