@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .media import op7_chroma_alignment
+from .merkle import ORACLE as MERKLE
 from .merkle import op4_merkle_fingerprints
 from .mixing import ORACLE as MIXING
 from .mixing import op10_pfair_mixing
@@ -29,4 +30,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL, where SQL can express the operator.
-ORACLES = {"op8_token_rollup": TOKEN_ROLLUP, "op10_pfair_mixing": MIXING}
+ORACLES = {"op4_merkle_fingerprints": MERKLE, "op8_token_rollup": TOKEN_ROLLUP, "op10_pfair_mixing": MIXING}
