@@ -255,3 +255,31 @@ def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Two-word shingles of whole documents at similarity 0.8; exact links on full sets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, ngram=2, percent=80)
+
+
+#: The same in DuckDB: shared shingles of all pairs of different sets, and the closure of the links.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s
+  FROM words
+), classes AS (
+  SELECT min(doc_id) AS c, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS (
+  SELECT c, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT c AS a, c AS b FROM classes
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), components AS (
+  SELECT a AS c, min(b) AS component FROM reached GROUP BY a
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(k.component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(k.component, d.doc_id) AS kept, coalesce(c.c, d.doc_id) AS links_class
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN components k ON k.c = c.c
+"""

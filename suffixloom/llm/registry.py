@@ -7,6 +7,7 @@ from .merkle import ORACLE as MERKLE
 from .merkle import op4_merkle_fingerprints
 from .mixing import ORACLE as MIXING
 from .mixing import op10_pfair_mixing
+from .near_dedup import ORACLE as NEAR_DEDUP
 from .near_dedup import op3_minhash_near_dedup
 from .packing import op6_harmonic_packing
 from .quality import op9_quality_rules
@@ -30,4 +31,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL, where SQL can express the operator.
-ORACLES = {"op4_merkle_fingerprints": MERKLE, "op8_token_rollup": TOKEN_ROLLUP, "op10_pfair_mixing": MIXING}
+ORACLES = {"op3_minhash_near_dedup": NEAR_DEDUP, "op4_merkle_fingerprints": MERKLE, "op8_token_rollup": TOKEN_ROLLUP, "op10_pfair_mixing": MIXING}

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -136,6 +137,15 @@ def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_query_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = near_dedup.op3_minhash_near_dedup(spark, sf)
+    expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({near_dedup.ORACLE})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+
+
 def test_words_and_shingles():
     assert len(word_hashes("A b\x0bC\x1cd É")) == 4
     assert (word_hashes("ABC") == word_hashes("abc")).all() and (word_hashes("É") != word_hashes("é")).all()
