@@ -17,65 +17,90 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 
+#: Rows of a run that are handled in one row of a table.
+PART = 1 << 16
+
+
+def in_parts(runs: DataFrame, most: int = PART) -> DataFrame:
+    """`runs` with long ones cut into rows of `most` from their start; lf_start, where there is one, moves along."""
+    at = F.explode(F.expr(f"sequence(0L, (len - 1) div {most}L)")).alias("__at")
+    parts = runs.where("len > 0").select("*", at).withColumn("__at", F.col("__at") * most)
+    moved = {c: F.col(c) + F.col("__at") for c in ("start", "lf_start") if c in runs.columns}
+    return parts.withColumns({**moved, "len": F.least(F.col("len") - F.col("__at"), F.lit(most)).cast("long")}).select(*runs.columns)
+
+
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def smaller_rows(df: DataFrame, keys: Sequence[str], ties: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """`keep`, `rank` (how many rows have smaller keys) and `alone` (no other row has the keys).
+def smaller_rows(df: DataFrame, keys: Sequence[str], ties: Sequence[str], keep: Sequence[str], within: int = 0) -> DataFrame:
+    """`keep`, `rank` (how many rows have smaller keys) and `alone` (no other row has the keys); with `within`, `before` too:
+    how many of the rows with the same first `within` keys have smaller ones.
 
     All columns are 64-bit integers. `ties` only spread the rows of a frequent key over partitions.
     """
-    names = [*keys, *keep]
+    names = [*keys, *[k for k in keep if k not in keys]]
+    levels = [len(keys), *([within] if within else [])]  # numbers of keys by which rows are told apart
+    local_names = ["local", "local_group"][: len(levels)]
 
     def run(batches):
-        part, seen, start = TaskContext.get().partitionId(), 0, 0
+        part, seen, start = TaskContext.get().partitionId(), 0, [0] * len(levels)
         held = None  # the last row: whether it stands alone is known with the next
 
         def out(columns, begins, last_alone):
-            nonlocal seen, start
-            n = len(begins)
+            nonlocal seen
+            n = len(begins[0])
             places = np.arange(seen, seen + n)
-            starts = np.maximum.accumulate(np.where(begins, places, start))
-            alone = begins & np.concatenate([begins[1:], [last_alone]])
-            seen, start = seen + n, int(starts[-1])
-            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(starts), pa.array(alone), pa.array(np.full(n, part, dtype=np.int32))], names=[*names, "local", "alone", "part"])
+            starts = [np.maximum.accumulate(np.where(b, places, s)) for b, s in zip(begins, start, strict=True)]
+            alone = begins[0] & np.concatenate([begins[0][1:], [last_alone]])
+            seen, start[:] = seen + n, [int(s[-1]) for s in starts]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(pa.array, starts), pa.array(alone), pa.array(np.full(n, part, dtype=np.int32))], names=[*names, *local_names, "alone", "part"])
 
         previous = None
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
             if not len(columns[0]):
                 continue
-            begins = np.ones(len(columns[0]), dtype=bool)
-            begins[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[: len(keys)]])
+            begins = [np.ones(len(columns[0]), dtype=bool) for _ in levels]
+            for b, level in zip(begins, levels, strict=True):
+                b[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:level]])
+                if held is not None:
+                    b[0] = any(c[0] != h for c, h in zip(columns[:level], previous, strict=False))
             if held is not None:
-                begins[0] = any(c[0] != h for c, h in zip(columns, previous, strict=False))
                 columns = [np.concatenate([h, c]) for h, c in zip(held[0], columns, strict=True)]
-                begins = np.concatenate([held[1], begins])
+                begins = [np.concatenate([h, b]) for h, b in zip(held[1], begins, strict=True)]
             previous = [c[-1] for c in columns[: len(keys)]]
-            held = [c[-1:] for c in columns], begins[-1:]
-            if len(begins) > 1:
-                yield out([c[:-1] for c in columns], begins[:-1], begins[-1])
+            held = [c[-1:] for c in columns], [b[-1:] for b in begins]
+            if len(begins[0]) > 1:
+                yield out([c[:-1] for c in columns], [b[:-1] for b in begins], begins[0][-1])
         if held is not None:
             yield out(held[0], held[1], True)
 
     ordered = df.select(*names, *[t for t in ties if t not in names]).repartitionByRange(_parts(df), *keys, *ties).sortWithinPartitions(*keys).select(*names)
-    local = stored(ordered.mapInArrow(run, ", ".join(f"{c} bigint" for c in names) + ", local bigint, alone boolean, part int"), "key_ranks")
-    key = F.struct(*keys)
-    ends = local.groupBy("part").agg(F.count("*").alias("n"), F.min_by(key, "local").alias("first"), F.max_by(key, "local").alias("last"), F.max("local").alias("last_start")).orderBy("part").collect()
-    plan, shift = [], 0
-    for e in ends:
-        joins = bool(plan) and plan[-1]["key"] == e["first"]
-        first_rank = plan[-1]["last_rank"] if joins else shift
-        if joins:
-            plan[-1]["joined"] = True
-        plan.append({"part": e["part"], "shift": shift, "first_rank": first_rank, "joins": joins, "last_start": e["last_start"], "joined": False, "key": e["last"], "last_rank": first_rank if e["last_start"] == 0 else shift + e["last_start"]})
-        shift += e["n"]
-    rows = [(p["part"], p["shift"], p["first_rank"], p["joins"], p["last_start"], p["joined"]) for p in plan]
-    seams = df.sparkSession.createDataFrame(rows, "part int, shift bigint, first_rank bigint, joins boolean, last_start bigint, joined boolean")
-    met = ((F.col("local") == 0) & F.col("joins")) | ((F.col("local") == F.col("last_start")) & F.col("joined"))
-    rank = F.when(F.col("local") == 0, F.col("first_rank")).otherwise(F.col("shift") + F.col("local"))
-    return local.join(F.broadcast(seams), "part").select(*keep, rank.alias("rank"), (F.col("alone") & ~met).alias("alone"))
+    local = stored(ordered.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, *local_names]) + ", alone boolean, part int"), "key_ranks")
+    ends = [F.count("*").alias("n")]
+    for level, at in zip(levels, local_names, strict=True):
+        key = F.struct(*keys[:level])
+        ends += [F.min_by(key, at).alias(f"first_{at}"), F.max_by(key, at).alias(f"last_{at}"), F.max(at).alias(f"start_{at}")]
+    found = local.groupBy("part").agg(*ends).orderBy("part").collect()  # a row for each partition
+    seams, columns = [{"part": e["part"]} for e in found], ["part int", "shift bigint"]
+    for at in local_names:
+        shift, before = 0, None
+        for seam, e in zip(seams, found, strict=True):
+            joins = before is not None and before["key"] == e[f"first_{at}"]
+            first = before["rank"] if joins else shift
+            if joins:
+                before["seam"][f"joined_{at}"] = True
+            seam |= {"shift": shift, f"first_{at}": first, f"joins_{at}": joins, f"start_{at}": e[f"start_{at}"], f"joined_{at}": False}
+            before = {"key": e[f"last_{at}"], "rank": first if e[f"start_{at}"] == 0 else shift + e[f"start_{at}"], "seam": seam}
+            shift += e["n"]
+        columns += [f"first_{at} bigint", f"joins_{at} boolean", f"start_{at} bigint", f"joined_{at} boolean"]
+    rows = [tuple(s[c.split(" ")[0]] for c in columns) for s in seams]
+    met = ((F.col("local") == 0) & F.col("joins_local")) | ((F.col("local") == F.col("start_local")) & F.col("joined_local"))
+    rank_of = lambda at: F.when(F.col(at) == 0, F.col(f"first_{at}")).otherwise(F.col("shift") + F.col(at))
+    joined = local.join(F.broadcast(df.sparkSession.createDataFrame(rows, ", ".join(columns))), "part")
+    more = [(rank_of("local") - rank_of("local_group")).alias("before")] if within else []
+    return joined.select(*keep, rank_of("local").alias("rank"), (F.col("alone") & ~met).alias("alone"), *more)
 
 
 def run_lengths(df: DataFrame, keys: Sequence[str], ties: Sequence[str] = (), weight: str | None = None, split_ties: bool = True) -> DataFrame:

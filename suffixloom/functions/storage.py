@@ -4,30 +4,54 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a folder of our own only where none is set."""
+    """`spark.checkpoint.dir` of the session; a folder of our own only where none is set and all tasks run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="suffixloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
-def even_batches(spark: SparkSession, rows: int = 10_000, most_bytes: int = 32 << 20) -> None:
-    """Arrow batches that are bounded by bytes, and by rows no more than Spark's default does: rows here are narrow, and
-    the few wide ones, whole strings, are kept from filling a task's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
-    if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) < rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 10_000, most_bytes: int = 32 << 20):
+    """Arrow batches of so many rows and bytes at most while something is run; then the session's own settings hold again."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(most_bytes)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df`, computed once and kept as Parquet in the shared folder."""
-    even_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/suffixloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    _made.append(path)
+    with arrow_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table that `stored` has written in this process; frames that still read them break."""
+    n = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import run_lengths
+from ..functions.ordered import in_parts, run_lengths
 from ..functions.storage import stored
 from ..sources.collection import BYTES, INTEGERS, is_bytes, lengths
 from .suffix_order import _symbols, suffix_ranks
@@ -83,4 +83,4 @@ def build_bwt(strings: DataFrame, strategy: str = "auto") -> DataFrame:
 def expand(runs: DataFrame, null_symbol: int | None = None) -> DataFrame:
     """(bwt_pos, sym): the plain transform; with `null_symbol` in place of the terminator."""
     sym = F.col("sym") if null_symbol is None else F.when(F.col("sym") == 0, F.lit(null_symbol)).otherwise(F.col("sym"))
-    return runs.select(F.explode(F.expr("sequence(start, start + len - 1)")).alias("bwt_pos"), sym.cast("long").alias("sym"))
+    return in_parts(runs).select(F.explode(F.expr("sequence(start, start + len - 1)")).alias("bwt_pos"), sym.cast("long").alias("sym"))

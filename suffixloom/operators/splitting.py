@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import PART, in_parts
+
 
 def split_runs(runs: DataFrame, max_len: int, block_size: int | None = None) -> DataFrame:
     """(start, sym, len, block): pieces of at most `max_len` rows, counted from each run's start, cut again at every
     multiple of `block_size`. Without a block size no such cuts, and `block` is null. No piece is empty."""
     if max_len < 1 or (block_size is not None and block_size < 1):
         raise ValueError("lengths must be positive")
+    # Long runs are taken apart first, where they are cut anyway, so that no row holds the cuts of a whole run.
+    runs = in_parts(runs, max(1, PART // max_len) * max_len)
     end = "start + len"
     cuts = f"sequence(start, {end} - 1, {max_len}L)"
     if block_size is not None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import smaller_rows
@@ -142,8 +142,9 @@ def _refined(state: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), sid, dtype=np.int64)), pa.array(pos), pa.array(plain[pos]), *map(pa.array, later)], names=["string_id", "pos", "rank", *ahead])
 
     rows = state.where("open > 0").select("string_id", "ranks").mapInArrow(tied, "string_id bigint, pos bigint, rank bigint, " + ", ".join(f"{c} bigint" for c in ahead))
-    group = Window.partitionBy("rank").orderBy(*ahead)
-    told = rows.withColumn("before", F.rank().over(group).cast("long") - 1).withColumn("same", F.count("*").over(Window.partitionBy("rank", *ahead)))
-    told = told.where("before > 0 or same = 1").withColumn("to", F.col("rank") + F.col("before"))
-    news = by_string(told.select("string_id", "pos", F.when(F.col("same") == 1, F.col("to")).otherwise(-F.col("to") - 1).alias("rank")))
+    # By range, so that a tie of a frequent phrase is no group of one task.
+    held = ["string_id", "pos", "tie"]
+    told = smaller_rows(rows.withColumnRenamed("rank", "tie"), ["tie", *ahead], ["string_id"], held, within=1).where("before > 0 or alone")
+    to = F.col("tie") + F.col("before")
+    news = by_string(told.select("string_id", "pos", F.when(F.col("alone"), to).otherwise(-to - 1).alias("rank")))
     return state.select("string_id", "ranks").join(news, "string_id", "left").select("string_id", "ranks", "pos", "rank")

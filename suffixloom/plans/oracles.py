@@ -128,6 +128,11 @@ ORACLES = {
         "SELECT CAST(any_value(b) AS BIGINT) AS blocks, min(runs) FILTER (acc > (b + 1) // 4) AS q1, min(runs) FILTER (acc > (b + 1) // 2) AS q2, min(runs) FILTER (acc > 3 * (b + 1) // 4) AS q3, CAST(min(runs) FILTER (acc > 3 * (b + 1) // 4) + 1.5 * (min(runs) FILTER (acc > 3 * (b + 1) // 4) - min(runs) FILTER (acc > (b + 1) // 4)) AS DOUBLE) AS upper_whisker FROM (SELECT runs, CAST(sum(freq) OVER (ORDER BY runs) AS BIGINT) AS acc, CAST(sum(freq) OVER () AS BIGINT) AS b FROM hist)",
         _pieces(7, 64),
     ),
+    "text_lines": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS string_id, n_name AS line FROM nation",
+    "integer_cells": "SELECT row_number() OVER (ORDER BY n_regionkey) - 1 AS string_id, string_agg(CAST(n_nationkey + 1 AS VARCHAR), ',' ORDER BY n_nationkey) AS syms FROM nation GROUP BY n_regionkey",
+    "columns_saved_and_read": _all(("part", "p_partkey", "p_brand")),
+    "recovered_text": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS string_id, n_name AS line FROM nation",
+    "bwt_documents_differences": "SELECT CAST(0 AS BIGINT) AS differences",
     "lms_parse": f"WITH {_parse(*_NATION)} SELECT CAST(id AS BIGINT) AS n_nationkey, j, start, phrase FROM occ",
     "lms_phrase_counts": f"WITH {_parse(*_BENCH)} SELECT phrase, freq, terminal FROM phrases",
     "lms_phrase_ranks": f"WITH {_parse(*_BENCH)} SELECT phrase, row_number() OVER (ORDER BY CASE WHEN terminal THEN phrase ELSE phrase || 'FFFF' END) AS rank FROM phrases",
@@ -137,3 +142,6 @@ o AS (SELECT phrase, freq, terminal, length(phrase) // 4 AS n, unnest(range(0, l
 u AS (SELECT substr(phrase, 4 * off + 1) AS suffix, freq, off, CASE WHEN off > 0 THEN CAST('0x' || substr(phrase, 4 * off - 3, 4) AS BIGINT) END AS l FROM o WHERE terminal OR off < n - 1)
 SELECT suffix, count(DISTINCT l) AS n_left, count(*) FILTER (off = 0) AS n_whole, CAST(sum(freq) AS BIGINT) AS freq, CASE WHEN count(*) FILTER (off = 0) = 0 AND min(l) = max(l) THEN min(l) END AS solved_sym FROM u GROUP BY suffix""",
 }
+
+ORACLES["histogram_saved_and_read"] = ORACLES["split_block_histogram"]
+ORACLES["collection_symbols"] = f"SELECT min(sym) AS smallest, max(sym) AS greatest, max(freq) AS max_freq FROM ({ORACLES['symbol_histogram']}) WHERE sym > 0"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,11 +81,64 @@ def _inverted(spark, sf_dir, table, id_col, text_col, first=None, strategy="auto
 
 
 def _saved_and_read(spark, sf_dir):
-    path = f"{shared_folder(spark)}/suffixloom/nation_names_{id(object())}.runs"
+    path = f"{shared_folder(spark)}/suffixloom/nation_names_{uuid.uuid4().hex}.runs"
     files.write_runs(stored(_runs(spark, sf_dir, "nation", "n_nationkey", "n_name"), "runs"), path)
     return files.read_runs(spark, path)
 
 
+def _fresh(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/suffixloom/{uuid.uuid4().hex}/{name}"
+
+
+def text_lines(spark, sf_dir):
+    """Lines of two files, of which the second is the larger."""
+    names, path = spark.read.parquet(f"{sf_dir}/nation.parquet"), _fresh(spark, "lines")
+    for part, rows in (("1", names.where("n_nationkey < 5")), ("2", names.where("n_nationkey >= 5"))):
+        rows.coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(f"{path}/{part}")
+    return collection.from_text_files(spark, f"{path}/*").select("string_id", F.decode("body", "UTF-8").alias("line"))
+
+
+def integer_cells(spark, sf_dir):
+    """The nations of each region as integers, written as cells of two bytes and read again."""
+    path = _fresh(spark, "nations.cells")
+    nations = _collected(spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_regionkey", ["n_nationkey"], F.col("n_nationkey") + 1)
+    files.write_cells(nations, path, 2)
+    return collection.from_cells(spark, path, 2).select("string_id", F.array_join("syms", ",").alias("syms"))
+
+
+def columns_saved_and_read(spark, sf_dir):
+    prefix = _fresh(spark, "brands")
+    files.write_columns(stored(_runs(spark, sf_dir, "part", "p_partkey", "p_brand"), "runs"), prefix)
+    return files.read_columns(spark, prefix)
+
+
+def histogram_saved_and_read(spark, sf_dir):
+    path = _fresh(spark, "histogram.tsv")
+    files.write_histogram(histogram(spark, sf_dir), path)
+    return files.read_histogram(spark, path)
+
+
+def recovered_text(spark, sf_dir):
+    """The lines of the file that the strings were recovered to."""
+    path = _fresh(spark, "recovered.txt")
+    files.write_text(index.invert(stored(_runs(spark, sf_dir, *_NATION), "runs")), path)
+    return collection.from_text_files(spark, path).select("string_id", F.decode("body", "UTF-8").alias("line"))
+
+
+def collection_symbols(spark, sf_dir):
+    """The smallest and the greatest symbol but the terminator, and how often the most frequent one occurs."""
+    found = collection.symbol_histogram(_documents(spark, sf_dir)).where("sym > 0")
+    return found.agg(F.min("sym").alias("smallest"), F.max("sym").alias("greatest"), F.max("freq").alias("max_freq"))
+
+
+def documents_differences(spark, sf_dir):
+    """How many runs of the two ways to build the transform of `documents` the other one does not have."""
+    one, other = stored(documents_runs(spark, sf_dir), "runs"), stored(documents_runs_by_parse(spark, sf_dir), "runs")
+    sides = one.withColumn("side", F.lit(1)).unionByName(other.withColumn("side", F.lit(-1)))
+    counts = sides.groupBy("run_id", "start", "sym", "len").agg(F.sum("side").alias("n"))
+    return counts.agg(F.count_if(F.col("n") != 0).alias("differences"))
+
+
 def _pieces(spark, sf_dir, max_len=7, block=64):
     return splitting.split_runs(_runs(spark, sf_dir, "customer", "c_custkey", "c_name"), max_len, block)
 
@@ -166,6 +221,13 @@ QUERIES = {
     "split_summary": lambda s, d: splitting.split_summary(_runs(s, d, *_CUSTOMER), 7, 64).withColumn("increase", F.round("increase", 9)),
     "split_block_histogram": histogram,
     "split_quartiles": lambda s, d: splitting.block_quartiles(_pieces(s, d)),
+    "text_lines": text_lines,
+    "integer_cells": integer_cells,
+    "columns_saved_and_read": columns_saved_and_read,
+    "histogram_saved_and_read": histogram_saved_and_read,
+    "recovered_text": recovered_text,
+    "collection_symbols": collection_symbols,
+    "bwt_documents_differences": documents_differences,
     "lms_parse": parse_positions,
     "lms_phrase_counts": phrase_counts,
     "lms_phrase_ranks": phrase_ranks,

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import sums_before
+from ..functions.storage import stored
+
 BYTES, INTEGERS = "body", "syms"
 
 
@@ -24,12 +27,14 @@ def from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def from_text_files(spark: SparkSession, path: str, line_separator: str = "\n") -> DataFrame:
-    """One string for each line, numbered by file, then place in the file.
-
-    Numbers grow in the order of the input, with gaps between the files' parts.
-    """
+    """One string for each line, numbered without gaps by file (in the order of their paths), then place in the file."""
     lines = spark.read.option("lineSep", line_separator).text(path)
-    return lines.select(F.monotonically_increasing_id().alias("string_id"), F.encode("value", "UTF-8").alias(BYTES))
+    part = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    held = stored(lines.select(part.alias("part"), F.monotonically_increasing_id().alias("place"), F.encode("value", "UTF-8").alias(BYTES)), "lines")
+    # A part of a file is read in order by one task; how many lines lie before it follows from the counts.
+    counts = held.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    shifts = sums_before(counts.select("part", "n", "first"), ["part"], "n", "shift").select("part", "first", "shift")
+    return held.join(shifts, "part").select((F.col("shift") + F.col("place") - F.col("first")).alias("string_id"), BYTES)
 
 
 def from_int_arrays(df: DataFrame, id_col: str, array_col: str, shift: int = 0) -> DataFrame:

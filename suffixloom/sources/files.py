@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.collection import BYTES
+from ..sources.collection import BYTES, INTEGERS
 
 #: The header holds the bytes of a symbol and of a length as two unsigned 64-bit integers, least byte first;
 #: a record is a symbol and a length of as many bytes, least byte first, without padding.
@@ -102,12 +102,44 @@ def write_columns(runs: DataFrame, prefix: str) -> None:
     _stream(_encoded(runs, lambda s, n: s.astype(np.uint8).tobytes()), f"{prefix}.syms")
 
 
+def read_columns(spark: SparkSession, prefix: str) -> DataFrame:
+    """(run_id, start, sym, len) of the two files of `write_columns`, each of which is a row while it is read."""
+
+    def run(batches):
+        for batch in batches:
+            for lens, syms in zip(batch.column(0), batch.column(1), strict=True):
+                length = np.frombuffer(lens.as_buffer(), dtype="<u4").astype(np.int64)
+                sym = np.frombuffer(syms.as_buffer(), dtype=np.uint8).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sym))), pa.array(np.cumsum(length) - length), pa.array(sym), pa.array(length)], names=["run_id", "start", "sym", "len"])
+
+    content = lambda name: spark.read.format("binaryFile").load(f"{prefix}.{name}").select(F.lit(1).alias("one"), F.col("content").alias(name))
+    both = content("len").join(content("syms"), "one")  # a row each
+    return both.select("len", "syms").mapInArrow(run, "run_id bigint, start bigint, sym bigint, len bigint")
+
+
+def write_cells(strings: DataFrame, path: str, width: int) -> None:
+    """Integer strings in order, as little-endian unsigned cells of `width` bytes, each with a cell of 0 behind it."""
+
+    def run(batches):
+        for batch in batches:
+            data = [np.append(v.values.to_numpy(), 0).astype(f"<u{width}").tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["place", "data"])
+
+    _stream(strings.select("string_id", INTEGERS).mapInArrow(run, "place bigint, data binary"), path)
+
+
 def write_histogram(histogram: DataFrame, path: str) -> None:
     """A block histogram as tab-separated text with a header, in a directory of one file."""
     named = histogram.orderBy("runs_in_block").withColumnRenamed("runs_in_block", "number_of_runs_in_a_block")
     named.coalesce(1).write.option("sep", "\t").option("header", True).mode("overwrite").csv(path)
 
 
+def read_histogram(spark: SparkSession, path: str) -> DataFrame:
+    """A block histogram that `write_histogram` wrote."""
+    schema = "number_of_runs_in_a_block bigint, freq bigint, relative_freq double, acc_freq double"
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path).withColumnRenamed("number_of_runs_in_a_block", "runs_in_block")
+
+
 def write_text(found: DataFrame, path: str, terminator: bytes = b"\n") -> None:
     """Recovered strings in order, each with the terminator behind it, as one file."""
     _stream(found.select(F.col("string_index").alias("place"), F.concat(F.col(BYTES), F.lit(terminator)).alias("data")), path)

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from suffixloom.operators import splitting, statistics
+from suffixloom.functions.ordered import in_parts, smaller_rows
+from suffixloom.operators import index, splitting, statistics
 from suffixloom.operators.build import build_bwt
 from suffixloom.sources import collection, files
 from suffixloom.streaming import streaming_symbol_counts
@@ -105,6 +107,64 @@ def test_sources(spark, tmp_path):
         assert [list(r["syms"]) for r in rows] == [[9, 7], [], [8]]
 
 
+def test_lines_of_files_of_any_size(spark, tmp_path):
+    """Spark reads larger files first; numbers follow the paths and the places all the same."""
+    (tmp_path / "a.txt").write_text("first\n")
+    (tmp_path / "b.txt").write_text("".join(f"line{i}\n" for i in range(5000)))
+    (tmp_path / "c.txt").write_text("last")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = collection.from_text_files(spark, str(tmp_path)).orderBy("string_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [bytes(r["body"]).decode() for r in rows] == ["first", *[f"line{i}" for i in range(5000)], "last"]
+    assert [r["string_id"] for r in rows] == list(range(5002))
+
+
+def test_cells_and_columns_round_trip(spark, tmp_path, fruit):
+    strings = spark.createDataFrame([(0, [3, 1, 70000]), (1, []), (2, [5])], "string_id bigint, syms array<bigint>")
+    files.write_cells(strings, str(tmp_path / "cells"), 4)
+    assert [list(r["syms"]) for r in collection.from_cells(spark, str(tmp_path / "cells"), 4).orderBy("string_id").collect()] == [[3, 1, 70000], [], [5]]
+    files.write_columns(fruit, str(tmp_path / "both"))
+    assert sorted(map(tuple, files.read_columns(spark, str(tmp_path / "both")).collect())) == sorted(map(tuple, fruit.collect()))
+
+
+def test_histogram_file(spark, tmp_path):
+    found = splitting.block_histogram(splitting.split_runs(runs_of(spark, [(97, 10), (98, 3), (99, 8)]), 4, 5))
+    files.write_histogram(found, str(tmp_path / "tsv"))
+    lines = next((tmp_path / "tsv").glob("part-*")).read_text().splitlines()
+    assert lines[0] == "number_of_runs_in_a_block\tfreq\trelative_freq\tacc_freq" and lines[1:] == ["1\t1\t0.2\t0.2", "2\t4\t0.8\t1.0"]
+    assert sorted(map(tuple, files.read_histogram(spark, str(tmp_path / "tsv")).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_a_very_long_run(spark):
+    """A run of 2 ** 32 rows is cut and counted without a row that holds all of its pieces."""
+    runs = runs_of(spark, [(97, 5), (98, 2**32), (99, 3)])
+    r = splitting.split_summary(runs, 4096, 1 << 30).first()
+    assert (r["runs_before"], r["runs_after"], r["length_splits"], r["block_splits"]) == (3, 2**20 + 2 + 4, 2**20 - 1, 4)
+    parts = in_parts(runs, 1 << 20).agg(F.count("*"), F.sum("len"), F.max("len")).first()
+    assert tuple(parts) == (2 + 4096, 2**32 + 8, 1 << 20)
+    assert index.lf(runs_of(spark, [(97, 200_000), (0, 1)])).where("lf_pos <> if(sym = 0, 0, bwt_pos + 1)").count() == 0
+
+
+def test_ranks_within_groups_over_partitions(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(a), int(b), i) for i, (a, b) in enumerate(zip(rng.choice([1, 5, 5, 5, 9], 4000), rng.integers(0, 30, 4000), strict=True))]
+    got = smaller_rows(spark.createDataFrame(rows, "k bigint, j bigint, i bigint").repartition(7), ["k", "j"], ["i"], ["i"], within=1).collect()
+    keys = sorted((a, b) for a, b, _ in rows)
+    firsts = {k: keys.index(k) for k in set(keys)}
+    groups = {a: [x for x, _ in keys].index(a) for a in {x for x, _ in keys}}
+    counts = {k: keys.count(k) for k in firsts}
+    assert {r["i"]: (r["rank"], r["alone"], r["before"]) for r in got} == {i: (firsts[a, b], counts[a, b] == 1, firsts[a, b] - groups[a]) for a, b, i in rows}
+
+
+def test_settings_of_the_session_stay(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    build_bwt(strings_of(spark, [b"banana"] * 3), "doubling").collect()
+    assert spark.conf.get(key) == before
+
+
 def test_collection_stats(spark):
     strings = strings_of(spark, [b"banana", b"", b"nab"])
     assert tuple(collection.collection_stats(strings).first()) == (3, 12, 7)
