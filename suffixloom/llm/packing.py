@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered
 from .tokens import encoder, public_path
-from .workspace import materialize, small_batches
+from .workspace import materialize
 
 #: Classes of uneven pieces are numbered from here, to keep them apart from those that are filled exactly.
 UNEVEN = 1 << 20
@@ -66,8 +66,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     without gaps; offsets within one run without gaps from 0. `order` names integer columns by which documents follow each
     other in the sequences. Other columns of `docs` are not looked at; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 256)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("long").alias(f"order_{i}") for i, c in enumerate(order)])
     by = [f"order_{i}" for i in range(len(order))]
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -96,7 +94,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
 
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, class int, worker int, number bigint" + "".join(f", {c} bigint" for c in by) + ", ids array<int>" * with_ids
-    pieces = materialize(source.mapInArrow(run, schema), "pieces")
+    pieces = materialize(source.mapInArrow(run, schema), "pieces", batch=256)
 
     per_bin = F.when(F.col("class") >= UNEVEN, F.col("class") - UNEVEN).otherwise(F.col("class")).cast("long")
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class"] + ["ids"] * with_ids

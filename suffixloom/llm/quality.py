@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import arrow_batches
 from .trees import forest, paths
-from .workspace import carried, restored, small_batches
+from .workspace import carried, materialize, restored
 
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "longest_word", "upper", "digit", "symbol", "stop_marks", "space", "accented",
@@ -143,10 +144,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, t
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 12_000) -> RuleModel:
     """Fit on at most `most` labelled rows (the bound of what reaches the driver: as many rows of 20 numbers)."""
-    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label, id_col, text_col, most).select("doc_id", "y", statistics_column("text").alias("s")).select("doc_id", "y", "s.*")
     # Copies of one row may come more than once; the hash order above makes them few.
-    found = sorted(rows.limit(2 * most).collect(), key=lambda r: (str(r["doc_id"]), tuple(r)[2:]))
+    with arrow_batches(docs.sparkSession, 512):
+        rows = rows.limit(2 * most).collect()
+    found = sorted(rows, key=lambda r: (str(r["doc_id"]), tuple(r)[2:]))
     x = np.array([tuple(r)[2:] for r in found], dtype=np.float64).reshape(len(found), len(STATISTICS))
     return fit_rules(x, np.array([r["y"] for r in found], dtype=np.int64))
 
@@ -157,7 +159,6 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", sco
     Null and empty texts get the score of empty statistics; repeated rows get theirs each; other columns stay as they are. An
     empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     marked = carried(docs, text=text_col).withColumn("statistics", statistics_column("text"))
     return marked.select(*restored(docs, but=(score_col,), text=text_col), F.expr(model.sql("statistics")).alias(score_col))
 
@@ -166,5 +167,5 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Every document's quality score; the model is fitted on labelled rows outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs.select("doc_id", "text"), model)
+    scored = materialize(score_quality(docs.select("doc_id", "text"), model).drop("text"), "quality")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

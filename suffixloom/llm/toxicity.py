@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import arrow_batches
 from .quality import fold
-from .workspace import carried, restored, small_batches
+from .workspace import carried, materialize, restored
 
 SYMBOLS, ORDER, DISCOUNT, STRONG = 32, 4, 0.75, 3.0
 _SYMBOL = np.zeros(256, dtype=np.int64)
@@ -64,7 +65,8 @@ def count_ngrams(rows: DataFrame) -> np.ndarray:
 
     cells = rows.select("text", "y").mapInArrow(partial, "cell int, n0 bigint, n1 bigint").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     out = np.zeros((2, SYMBOLS**ORDER), dtype=np.int64)
-    found = cells.toArrow()
+    with arrow_batches(rows.sparkSession, 256):
+        found = cells.toArrow()
     at = found.column("cell").to_numpy()
     out[0][at], out[1][at] = found.column("n0").to_numpy(), found.column("n1").to_numpy()
     return out.reshape(2, *[SYMBOLS] * ORDER)
@@ -138,7 +140,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     Rows of fold 0 are never looked at. Null labels and ids are left out. None if one of the classes has no row.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("fold", fold(F.col("doc_id")))
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counted = text.where(fold(F.col("doc_id")).between(1, 3))  # before the join: less to shuffle
@@ -149,7 +150,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_co
     table = spark.sparkContext.broadcast(evidence_table(counts))
     drawn = marked.where("fold = 4").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_fitted)
     rows = text.join(F.broadcast(drawn), "doc_id").select("y", evidence_column(table, "text").alias("s")).select("y", "s.*")
-    found = rows.limit(2 * most_fitted).collect()
+    with arrow_batches(spark, 256):
+        found = rows.limit(2 * most_fitted).collect()
     x, y = np.array([tuple(r)[1:] for r in found], dtype=np.float64).reshape(len(found), 3), np.array([r["y"] for r in found], dtype=np.float64)
     order = np.lexsort((y, *x.T))
     x, y = x[order], y[order]
@@ -166,7 +168,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str =
     Without a model it is 0; a text without words, null and empty ones too, has no evidence; repeated rows get theirs each;
     other columns stay as they are. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession, 256)
     rows, kept = carried(docs, text=text_col), restored(docs, but=(score_col,), text=text_col)
     if model is None:
         return rows.select(*kept, F.lit(0.0).alias(score_col))
@@ -180,5 +181,5 @@ def op5_toxicity_kneser_ney(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity score; labels come from outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_toxicity(docs, model)
+    scored = materialize(score_toxicity(docs, model).drop("text"), "toxicity", batch=256)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

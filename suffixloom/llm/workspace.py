@@ -7,34 +7,26 @@ session has none (tests, local runs).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
-
+from ..functions.storage import arrow_batches, shared_folder
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="suffixloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+_made: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/suffixloom/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(spark)}/suffixloom/{uuid.uuid4().hex}/{name}"
     _made.append(path)
     return path
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int = 200_000, batch: int = 512) -> DataFrame:
     """Write `df` to the shared folder and return a reader of what was written.
 
+    Arrow batches have `batch` rows at most meanwhile: whole texts, and what is made of them, must fit beside the heap.
     Where a bound of its `rows` is known, narrow rows are dealt anew to files of `per_file`, instead of a file for each
     task before: shared file systems bear few files better than many.
     """
@@ -42,7 +34,8 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, per_file: int
     path = fresh_path(spark, name)
     if rows is not None:
         df = df.repartition(max(1, -(-rows // per_file)))
-    df.write.parquet(path)
+    with arrow_batches(spark, batch):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,10 +72,3 @@ def unused(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows: a batch of long texts must fit beside the heap of an executor."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
