@@ -36,6 +36,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the score of empty statistics; repeated rows are kept or not alike; an empty table gives none.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # the script's session: its stages hold whole texts
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = unused(docs, "score")
     return score_quality(docs, model, score_col=score).where(F.col(score) >= QUALITY_AT_LEAST).select(*map(column, docs.columns))
