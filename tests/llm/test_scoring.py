@@ -1,5 +1,8 @@
 """Quality and toxicity: held-out accuracy on the test tables, the models by themselves, odd rows."""
 
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,8 +19,6 @@ def held_out(spark, query, label):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     both = rows.join(labels, "doc_id", "left").select("doc_id", "held_out", "score", "predicted", label).collect()
     assert len(both) == n and all(0 <= r["score"] <= 1 for r in both)
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in both)
     return [(r["score"], r["predicted"], r[label]) for r in both if r["held_out"] and r[label] is not None]
 
@@ -138,3 +139,20 @@ def test_trees_find_a_threshold():
     y = ((x[:, 1] > 0.3) & (x[:, 4] < 0)).astype(int)
     found = trees.forest(x, y, 10, 5, tries=3)
     assert (np.mean([trees.predict(t, x) for t in found], axis=0).round() == y).mean() > 0.97
+
+
+def test_queries_against_plain_scores(spark):
+    """The registered queries against statistics, evidence and weights that are worked out row by row."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rules, model = quality.fit_quality(docs, labels), toxicity.fit_toxicity(docs, labels)
+    by_rules = dict(zip(texts, rules.scores(np.array([quality.statistics(t) for t in texts.values()])), strict=True))
+    evidence = {i: toxicity.features(model.table.value, t) if model else None for i, t in texts.items()}
+    by_model = {i: 1 / (1 + math.exp(-(sum(a * b for a, b in zip(e, model.weights[:3], strict=True)) + model.weights[3]))) if model else 0.0 for i, e in evidence.items()}
+    for query, expected, least in ((quality.op9_quality_rules, by_rules, 0.3), (toxicity.op5_toxicity_kneser_ney, by_model, 0.5)):
+        got = query(spark, sf).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert abs(r["score"] - expected[r["doc_id"]]) < 1e-6 and r["predicted"] == int(r["score"] >= least)
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)

@@ -1,6 +1,8 @@
+import hashlib
 import re
 
 import numpy as np
+import regex
 
 from suffixloom.llm import secrets, trees
 
@@ -74,3 +76,46 @@ def test_values_of_long_names(spark):
     rows = spark.createDataFrame([(f"see {name}{value} here", value) for name, value in values.items()], "text string, value string")
     got = secrets.with_candidates(rows, "text").selectExpr("value", "__found.v AS v", "__found.named AS named").collect()
     assert len(got) == 3 and all((r["v"], r["named"]) == ([r["value"]], [1.0]) for r in got)
+
+
+def plain_features(value, left, right):
+    """The features of one candidate, by hand."""
+    share = lambda chars: len(regex.sub(f"[^{chars}]", "", value)) / len(value)
+    flag = lambda on, pattern: float(bool(regex.search(pattern, on, regex.ASCII)))
+    kinds = ["a" if "a" <= c <= "z" else "B" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in value]
+    words = "|".join(sorted({w for w in secrets.DICTIONARY if len(w) > 2}, key=lambda w: (-len(w), w)))
+    names, gap = secrets.NAMES, r"[\x22\x27]?\s{0,4}[:=]\s{0,4}[\x22\x27]?$"
+    digests = r"\b(commit|revision|rev|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|integrity|build|base64|isbn|order|invoice|id)\b"
+    return {
+        "length": len(value), "changes": sum(a != b for a, b in zip(kinds, kinds[1:])) / len(value), "digits": share("0-9"), "uppers": share("A-Z"), "lowers": share("a-z"),
+        "others": 1 - share("A-Za-z0-9"), "hexadecimal": flag(value, "^([0-9a-f]+|[0-9A-F]+)$"), "distinct": len(set(value)), "vowels": share("aeiouAEIOU"),
+        "dictionary": 1 - len(regex.sub(words, "", value.lower())) / len(value), "slashes": value.count("/"), "path_before": flag(left, r"(://|[\w.-]/|\.\./|[a-z]:\\)[^\s]*$"),
+        "named": flag(left, names + gap), "near_name": flag(left, rf"({names}|bearer|authorization|signing|credentials?)\b"), "near_digest": flag(left + right, digests),
+        "assigned": flag(left, r"[:=]\s{0,4}[\x22\x27]?$"), "quoted": float(left[-1:] in "\"'" and left != "" and right[:1] in "\"'" and right != ""),
+        "known_prefix": flag(value, r"^(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abprs]-|AIza|eyJ|glpat-)"),
+        "placeholder": flag(value.lower(), r"example|sample|your|change_?me|placeholder|dummy|redacted|xxxx|\*\*\*|\$\{|(.)\1{7,}"), "block": flag(value, "^-----BEGIN"),
+    }
+
+
+def test_query_against_a_plain_scan(spark):
+    sf, forest = "/root/testdata/sf0.01", secrets.default_forest(spark)
+    pattern, inner = regex.compile(secrets.CANDIDATE, regex.ASCII), regex.compile(secrets._VALUE, regex.ASCII)
+
+    def leaf(node, x):
+        while node.feature >= 0:
+            node = node.left if x[secrets.FEATURES[node.feature]] <= node.threshold else node.right
+        return round(node.value, 4)
+
+    expected = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text, found = r["text"] or "", list(pattern.finditer(r["text"] or ""))
+        for k, m in enumerate(found):
+            value = (v := inner.search(m.group())) and v.group(1) or m.group()
+            before, behind = (found[k - 1].end() if k else 0), (found[k + 1].start() if k + 1 < len(found) else len(text))
+            left = (text[before : m.start()][-64:] + m.group()[: len(m.group()) - len(value)])[-64:].lower()
+            x = plain_features(value, left, text[m.end() : behind][:24].lower())
+            score = sum(leaf(t, x) for t in forest) / len(forest)
+            if score >= 0.5:
+                expected[r["doc_id"], m.end() - len(value)] = (len(value), hashlib.sha256(value.encode()).hexdigest(), round(score, 4), len(found))
+    got = {(r["doc_id"], r["start"]): (r["length"], r["secret_sha256"], round(r["score"], 4), r["n_candidates"]) for r in secrets.op2_secret_scan(spark, sf).collect()}
+    assert got == expected and len(got) > 0
