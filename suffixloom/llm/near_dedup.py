@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    """Two-word shingles of whole documents at similarity 0.8; exact links on full sets."""
+    """Two-word shingles of whole documents at similarity 0.8; exact links on full sets; odd rows as in `near_duplicates`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, ngram=2, percent=80)
 

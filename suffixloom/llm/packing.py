@@ -135,5 +135,5 @@ def _offsets(located: DataFrame, out: list[str]) -> DataFrame:
 
 
 def op6_harmonic_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents into sequences of 2048 tokens of the public word BPE."""
+    """All documents into sequences of 2048 tokens of the public word BPE; odd rows as in `pack`."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_path("word_bpe_49k.json"))

@@ -164,7 +164,8 @@ def score_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", sco
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Every document's quality score; the model is fitted on labelled rows outside the held-out fold."""
+    """Every document's quality score; the model is fitted on labelled rows outside the held-out fold; odd rows as in
+    `score_quality`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = materialize(score_quality(docs.select("doc_id", "text"), model).drop("text"), "quality")

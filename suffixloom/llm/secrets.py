@@ -224,6 +224,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", model: list[Node] |
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Every secret in all documents, by position, with its digest in place of its text."""
+    """Every secret in all documents, by position, with its digest in place of its text; odd rows as in `scan_secrets`."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score", "n_candidates")

@@ -11,7 +11,7 @@ A word's evidence is the difference of its log-likelihoods under the two models.
 the mean over all its characters, the largest evidence of one word, and the share of words with strong evidence; a logistic
 function of these three, fitted on labelled rows that the models have not counted, is the score.
 
-Every labelled row of the folds to learn from is counted, in tables of 32 ** 4 exact cells: the alphabet has the word's end,
+Every labelled row of folds 1 to 3 is counted (fold 4 fits the weights, fold 0 is held out), in tables of 32 ** 4 exact cells: the alphabet has the word's end,
 26 letters, one symbol for digits and four for bytes beyond ASCII. That bounds the model at any size of the corpus.
 """
 
@@ -137,7 +137,8 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_fitted: int = 20_000) -> ToxicityModel | None:
     """Count all labelled rows of folds 1 to 3; fit the three weights on at most `most_fitted` rows of fold 4.
 
-    Rows of fold 0 are never looked at. Null labels and ids are left out. None if one of the classes has no row.
+    Rows of fold 0 are never looked at. Null labels and ids are left out; null and empty texts have no n-grams; repeated rows
+    are counted as often as they come. None if one of the classes has no row, as in empty tables.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("fold", fold(F.col("doc_id")))
@@ -178,7 +179,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str =
 
 
 def op5_toxicity_kneser_ney(spark, sf_dir: str) -> DataFrame:
-    """Every document's toxicity score; labels come from outside the held-out fold."""
+    """Every document's toxicity score; labels come from outside the held-out fold; odd rows as in `score_toxicity`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = materialize(score_toxicity(docs, model).drop("text"), "toxicity", batch=256)
