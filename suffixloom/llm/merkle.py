@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .workspace import carried, column, restored
 
 LONGEST, SHORT = 160, 12
+#: Blocks of neighbouring rows, whose bounds are in the plan: 6 GB each, sorted with spilling, at 100 TB.
+MOST_BLOCKS = 1 << 14
 _SENTENCE = r"[^.!?|]{1,%d}[.!?|]*|[.!?|]+" % LONGEST
 
 
@@ -107,7 +109,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, carry: Mapping[str, C
     """(doc_id, text, next_text, ...): the text of the row with the next larger id, of the first row after the last.
 
     For each name in `carry`, an expression over the text, also its value for the row, and as next_<name> for the next one.
-    Texts are shuffled once, into blocks of neighbouring ids, of about `block_bytes` each: the bounds are approximate
+    Texts are shuffled once, into blocks of neighbouring ids, of about `block_bytes` each (at most MOST_BLOCKS): the bounds are approximate
     quantiles of the ids. The first row of each block also goes to the block before, behind its rows. Null texts are empty
     ones. Rows of equal ids are ordered by text; rows without an id come first. An empty table gives no rows.
     """
@@ -115,10 +117,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, carry: Mapping[str, C
     rows = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     if blocks is None:
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-        blocks = max(8, -(-size // block_bytes))
+        blocks = max(8, min(MOST_BLOCKS, -(-size // block_bytes)))
     bounds: list = []
     if blocks > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("q")).first()["q"]
+        found = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], min(100 * blocks, 200_000)).alias("q")).first()["q"]
         bounds = sorted(set(found or []))
     kind = rows.schema["doc_id"].dataType.simpleString()
     placed = rows.withColumn("block", _block_of(F.col("doc_id"), bounds, kind))
