@@ -56,7 +56,7 @@ def nodes(fingerprint: str) -> Column:
     # In sorted order a node is at least the k-th of its kind if the k-th one before is equal: k is found bit by bit.
     steps = ", ".join(str(1 << b) for b in range(20, -1, -1))
     number = f"aggregate(array({steps}), 0, (k, d) -> if(i >= k + d and s[i - k - d] = x, k + d, k))"
-    found = f"array_sort(filter(split({fingerprint}, '[^0-9a-f]+'), x -> x <> ''))"
+    found = f"sort_array(array_remove(split({fingerprint}, '[^0-9a-f]+'), ''))"
     # A list of one holds the array by a name.
     return F.expr(f"transform(array({found}), s -> transform(s, (x, i) -> if(i > 0 and s[i - 1] = x, concat(x, '#', {number}), x)))[0]")
 
@@ -78,21 +78,24 @@ def differing_branches(a: str, b: str) -> Column:
     leading and trailing ones. An inserted or changed part is thus the only one left, wherever it is.
     """
 
-    def ends(x: str, y: str) -> str:
-        """Equal leading and trailing elements, none of them counted twice."""
-        leading = lambda p, q: f"coalesce(nullif(array_position(zip_with({p}, {q}, (m, n) -> coalesce(m = n, false)), false), 0) - 1, least(size({p}), size({q})))"
-        before = f"int({leading(x, y)})"
-        behind = f"int(least({leading(f'reverse({x})', f'reverse({y})')}, least(size({x}), size({y})) - {before}))"
-        return f"named_struct('before', {before}, 'behind', {behind})"
+    def leading(x: str, y: str) -> str:
+        """Equal leading elements of two arrays."""
+        return f"int(coalesce(nullif(array_position(zip_with({x}, {y}, (m, n) -> coalesce(m = n, false)), false), 0) - 1, least(size({x}), size({y}))))"
 
+    # Each step is a list of one, which holds what the next one needs by a name.
     sections = lambda c: f"split(substring_index({c}, ':', -1), '/')"
-    rest = lambda c: f"flatten(transform(slice(t.{c}, t.e.before + 1, size(t.{c}) - t.e.before - t.e.behind), s -> split(s, '\\\\),')))"
-    held = f"transform(array(named_struct('a', {sections(a)}, 'b', {sections(b)})), t -> named_struct('a', t.a, 'b', t.b, 'e', {ends('t.a', 't.b')}))"
-    held = f"transform({held}, t -> named_struct('e', t.e, 'a', {rest('a')}, 'b', {rest('b')}))"
-    # A section's text begins with its own hash, of which its first paragraph must be freed to be compared.
-    bare = lambda c: f"transform(t.{c}, s -> regexp_replace(regexp_replace(s, '^[0-9a-f]+[(](?=[0-9a-f]+[(])', ''), '[)]+$', ''))"
-    held = f"transform({held}, t -> named_struct('e', t.e, 'a', {bare('a')}, 'b', {bare('b')}))"
-    return F.expr(f"transform({held}, t -> named_struct('sections_before', t.e.before, 'sections_behind', t.e.behind, 'paragraphs_before', {ends('t.a', 't.b')}.before, 'paragraphs_behind', {ends('t.a', 't.b')}.behind))[0]")
+    # The differing sections begin and end in different paragraphs: only the first and the last one are taken apart.
+    parts = lambda s: f"coalesce(split(substring({s}, {SHORT + 2}, length({s}) - {SHORT + 3}), '[)],'), array())"
+    at = lambda x, i: parts(f"if(t.p < t.n, get(t.{x}, {i}), null)")
+    step = f"array(named_struct('a', {sections(a)}, 'b', {sections(b)}))"
+    step = f"transform({step}, t -> named_struct('a', t.a, 'b', t.b, 'n', least(size(t.a), size(t.b)), 'p', {leading('t.a', 't.b')}))"
+    step = f"transform({step}, t -> named_struct('a', t.a, 'b', t.b, 'n', t.n, 'p', t.p, 'q', if(t.p < t.n, least({leading('reverse(t.a)', 'reverse(t.b)')}, t.n - t.p), 0)))"
+    open_ = "t.p + t.q < t.n"
+    firsts = f"'fa', if({open_}, {at('a', 't.p')}, array()), 'fb', if({open_}, {at('b', 't.p')}, array())"
+    lasts = f"'la', if({open_}, {at('a', 'size(t.a) - 1 - t.q')}, array()), 'lb', if({open_}, {at('b', 'size(t.b) - 1 - t.q')}, array())"
+    step = f"transform({step}, t -> named_struct('p', t.p, 'q', t.q, 'one_a', size(t.a) - t.p - t.q = 1, 'one_b', size(t.b) - t.p - t.q = 1, {firsts}, {lasts}))"
+    step = f"transform({step}, t -> named_struct('p', t.p, 'q', t.q, 'x', {leading('t.fa', 't.fb')}, 'y', {leading('reverse(t.la)', 'reverse(t.lb)')}, 'm', least(if(t.one_a, size(t.fa), 1073741824), if(t.one_b, size(t.fb), 1073741824))))"
+    return F.expr(f"transform({step}, t -> named_struct('sections_before', t.p, 'sections_behind', t.q, 'paragraphs_before', t.x, 'paragraphs_behind', least(t.y, t.m - t.x)))[0]")
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
