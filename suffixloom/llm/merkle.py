@@ -41,13 +41,23 @@ def root(leaf: Column) -> Column:
     return F.sha2(F.array_join(section_hashes(leaf), ""), 256)
 
 
+def _by_name(x: Column, made) -> Column:
+    """`made` of a column that stands for `x`, which is thus worked out once: the list of one holds it."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
 def fingerprint(leaf: Column) -> Column:
     """Root and tree as one string."""
     short = lambda x: F.substring(x, 1, SHORT)
-    paragraph = lambda p: F.concat(short(F.sha2(F.array_join(p, ""), 256)), F.lit("("), F.array_join(F.transform(p, short), "."), F.lit(")"))
-    parts = lambda s: F.array_join(F.transform(s, paragraph), ",")
-    sections = F.zip_with(section_hashes(leaf), leaf, lambda h, s: F.concat(short(h), F.lit("("), parts(s), F.lit(")")))
-    return F.concat(root(leaf), F.lit(":"), F.array_join(sections, "/"))
+    paragraph = lambda h, p: F.concat(short(h), F.lit("("), F.array_join(F.transform(p, short), "."), F.lit(")"))
+
+    def tree(leaf: Column, paragraphs: Column, sections: Column) -> Column:
+        parts = lambda i: F.array_join(F.zip_with(F.get(paragraphs, i), F.get(leaf, i), paragraph), ",")
+        named = F.transform(sections, lambda h, i: F.concat(short(h), F.lit("("), parts(i), F.lit(")")))
+        return F.concat(F.sha2(F.array_join(sections, ""), 256), F.lit(":"), F.array_join(named, "/"))
+
+    above = lambda x: F.transform(x, lambda s: F.sha2(F.array_join(s, ""), 256))
+    return _by_name(leaf, lambda leaf: _by_name(paragraph_hashes(leaf), lambda ps: _by_name(above(ps), lambda ss: tree(leaf, ps, ss))))
 
 
 def nodes(fingerprint: str) -> Column:
