@@ -150,15 +150,16 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, carry: Mapping[str, C
 
 
 def _block_of(key: Column, bounds: list, kind: str) -> Column:
-    """How many of the ascending bounds are at most `key`, by bisection in one array; null keys are in block 0."""
+    """How many of the ascending bounds are at most `key`, by bisection in one array; null keys are in block 0.
+
+    The steps are an array as well, so that the bounds are in the plan once: a step written around the one before would hold it
+    three times, and 384 bounds (6 GB) then fill the driver.
+    """
     if not bounds:
         return F.lit(0)
-    array = F.array(*[F.lit(b).cast(kind) for b in bounds])
-    steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
-    at = F.lit(0)
-    for step in steps:
-        at = F.when(F.get(array, at + step - 1) <= key, at + step).otherwise(at)
-    return at
+    array = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) <= key, at + step).otherwise(at))
 
 
 def op4_merkle_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -104,6 +104,16 @@ def test_next_row(spark, blocks):
     assert got.count() == len(rows)
 
 
+def test_blocks_of_large_tables_are_planned_in_little(spark):
+    """As many bounds as 6 GB have (384 blocks) and many more: the expression grows with the bounds, not with their power."""
+    df = spark.createDataFrame([(None,), *[(i,) for i in range(-3, 8300, 7)]], "k long")
+    for n in (1, 2, 383, 4095):
+        bounds = list(range(0, 2 * n, 2))
+        got = df.select("k", merkle._block_of(F.col("k"), bounds, "bigint").alias("block"))
+        assert len(got._jdf.queryExecution().analyzed().toString()) < 10_000 + 100 * n
+        assert all(r["block"] == (0 if r["k"] is None else sum(b <= r["k"] for b in bounds)) for r in got.collect())
+
+
 def test_next_row_of_repeated_missing_and_no_rows(spark):
     rows = [(None, "n"), (1, "b"), (1, "a"), (2, "c")]
     got = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", blocks=4)
