@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from .prefilter import MOST_KEYS, bits_for, bloom_words, may_hold
 from .text import mix
 from .workspace import materialize
@@ -32,8 +33,8 @@ FILTERS = tuple((k % 6, (5 * k) % CLASSES, 2 + 2 * (k % 3), (4, 6, 8, 12)[k % 4]
 THRESHOLDS = (-0.04, 0.0, 0.04)
 #: Distances of a landmark's integers: windows of WIDTH frames that share none, and what bounds the landmarks of a position.
 NEAR, FAR = WIDTH, 44
-#: Recordings that a landmark may have to be joined whatever its key; of the landmarks of more, one in SAMPLED is.
-FEW, SAMPLED = 8, 64
+#: Queries whose landmarks are in one list, which bounds a row.
+TOGETHER = 256
 #: What aligns: positions of overlap, and the share of differing bits. The bits of unrelated
 #: recordings agree more often than not: among played vectors of the test tables, 859 pairs of 90,000 unrelated ones come
 #: below 0.25 at some offset, 53 below 0.2 and none below 0.15; copies with noise lie from 0.05 to 0.11.
@@ -181,14 +182,15 @@ def best_offset(x: np.ndarray, y: np.ndarray, offsets, least_overlap: int, most_
     return best and (best[2], best[3], best[4], best[0])
 
 
-def align(prints: DataFrame, queries: DataFrame, least_overlap: int = LEAST_OVERLAP, most_error: float = MOST_ERROR, few: int = FEW, most_keys: int = MOST_KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def align(prints: DataFrame, queries: DataFrame, least_overlap: int = LEAST_OVERLAP, most_error: float = MOST_ERROR, together: int = TOGETHER, most_keys: int = MOST_KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal recordings that hold part of a query, the queries' keys, and the recordings' keys:
     (query_key, print_key, offset, votes, overlap, error), (query_id, query_key), (rec_id, print_key).
 
     Both frames have (rec_id, prints, print_key). For each pair the offset with the fewest errors of those for which it has a
     landmark is given; `error` is the share of differing bits in the overlap, `votes` the distinct integers that both have
-    there. Landmarks of more than `few` recordings are sampled by their keys, so that members of a family of copies meet by some
-    of the many that they share. Rows without an id or without prints (null, empty or short recordings) match nothing; a
+    there. Every landmark is used, however many recordings have it: those of the queries are lists by key, of `together` queries
+    at most, so that a landmark of a recording meets a list and not each of a family's queries in a row of its own, and a
+    recording's equal offsets are one before they are rows. Rows without an id or without prints (null, empty or short recordings) match nothing; a
     query matches itself at offset 0 if any of its landmarks is used. A recording of one value throughout, silence for one, has no landmarks and matches nothing but by its class.
     Repeated rows are one recording with its ids; empty frames give no rows.
     """
@@ -196,6 +198,7 @@ def align(prints: DataFrame, queries: DataFrame, least_overlap: int = LEAST_OVER
     classes = materialize(keyed.groupBy("print_key").agg(F.first("prints").alias("prints")), "recordings")
     asked = queries.where("print_key is not null and rec_id is not null").select(F.col("rec_id").alias("query_id"), F.col("print_key").alias("query_key"), "prints")
     wanted = materialize(asked.groupBy("query_key").agg(F.first("prints").alias("prints")), "queries")
+    numbers = materialize(numbered(wanted.select(F.col("query_key").alias("print_key")), ["print_key"]), "numbers")
     marks = materialize(landmark_rows(wanted.withColumnRenamed("query_key", "print_key")), "landmarks", batch=256)
     keys = marks.select("key").distinct()
     n_keys = keys.count()
@@ -203,11 +206,17 @@ def align(prints: DataFrame, queries: DataFrame, least_overlap: int = LEAST_OVER
     if n_keys <= most_keys:
         words = spark.sparkContext.broadcast(bloom_words(keys, "key", bits_for(n_keys), hashed=True))
     rows = materialize(landmark_rows(classes, words), "rows", batch=256)
-    # Landmarks of many recordings belong to families, whose members share so many that a sample of them is enough.
-    often = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > few).select("key", F.lit(True).alias("often"))
-    kept = marks.join(often, "key", "left").where(F.col("often").isNull() | (F.col("key").bitwiseAND(SAMPLED - 1) == 0))
-    met = rows.join(kept.select("key", F.col("print_key").alias("query_key"), F.col("at").alias("query_at")), "key")
-    offsets = met.groupBy("query_key", "print_key").agg(F.collect_set(F.col("at") - F.col("query_at")).alias("offsets"))
+    # A query's number above the place, or above the offset, in one integer.
+    packed = lambda number, low: F.shiftleft(number, 32) + low + F.lit(1 << 31)
+    in_list = F.floor(F.col("number") / together).alias("list")
+    placed = marks.join(numbers, "print_key").select("key", in_list, packed(F.col("number"), F.col("at")).alias("place"))
+    lists = placed.groupBy("key", "list").agg(F.collect_list("place").alias("places"))
+    shifted = F.transform("places", lambda p: p + F.col("at") - 2 * (p.bitwiseAND((1 << 32) - 1) - F.lit(1 << 31)))
+    met = rows.join(lists, "key").groupBy("print_key", "list").agg(F.array_distinct(F.flatten(F.collect_list(shifted))).alias("met"))
+    met = met.select("print_key", F.explode("met").alias("m"))
+    offset = F.col("m").bitwiseAND((1 << 32) - 1) - F.lit(1 << 31)
+    offsets = met.groupBy(F.shiftright("m", 32).alias("number"), "print_key").agg(F.collect_list(offset).alias("offsets"))
+    offsets = offsets.join(numbers.select("number", F.col("print_key").alias("query_key")), "number").select("query_key", "print_key", "offsets")
     offsets = materialize(offsets, "offsets", batch=256)
     both = offsets.join(classes.select("print_key", F.col("prints").alias("x")), "print_key").join(wanted.select("query_key", F.col("prints").alias("y")), "query_key")
 

@@ -135,3 +135,27 @@ def test_families_are_found_by_a_sample(spark):
     close = {(q, i) for q in x if q % 50 == 25 for i in x if np.bitwise_count(x[q] ^ x[i]).sum() <= media.MOST_ERROR * 32 * len(x[q])}
     print(len(close), len(got & close), len(got - close))
     assert len(close) > 500 and len(got & close) >= 0.9 * len(close)
+
+
+@pytest.mark.parametrize("together", [1, 3, 256])
+def test_every_landmark_of_a_family_is_used(spark, together):
+    """All pairs of a family with a landmark in common, and what their best offset is, against plain Python."""
+    rng = np.random.default_rng(22)
+    base = rng.normal(size=64)
+    vectors = {i: base + rng.normal(size=64) * 0.15 if i % 2 else rng.normal(size=64) for i in range(240)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    prints = media.fingerprints(df, "vec_id", ("embedding", media.notes_of), RATE)
+    rows, asked, keyed = media.align(prints, prints.where("rec_id % 20 = 5"), together=together)
+    got = {(r["query_id"], r["rec_id"]): (r["offset"], r["votes"], r["overlap"], r["error"]) for r in rows.join(asked, "query_key").join(keyed, "print_key").collect()}
+    x = {i: media.fingerprint(media.notes_of(np.float32(v)), RATE) for i, v in vectors.items()}
+    places = {i: defaultdict(list) for i in x}
+    for i in x:
+        for key, at in zip(*(z.tolist() for z in media.landmarks(x[i])), strict=True):
+            places[i][key].append(at)
+    expected = {}
+    for q in (i for i in x if i % 20 == 5):
+        for i in x:
+            offsets = {a - b for key in places[q].keys() & places[i].keys() for a in places[i][key] for b in places[q][key]}
+            if best := media.best_offset(x[i], x[q], offsets, media.LEAST_OVERLAP, media.MOST_ERROR):
+                expected[q, i] = (*best[:3], round(best[3], 6))
+    assert len(expected) > 500 and got == expected
