@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from suffixloom.operators import index, parse
+from suffixloom.functions import packed, storage
+from suffixloom.operators import index, parse, suffix_order
 from suffixloom.operators.build import build_bwt, expand
 from suffixloom.sources import collection
 
@@ -102,6 +103,24 @@ def test_byte_zero_is_refused(spark):
         build_bwt(strings_of(spark, [b"a\x00b"]), "doubling")
 
 
+def test_many_blocks_and_buckets(spark, monkeypatch):
+    """Suffixes of one frequent beginning, and those that are tied over the bounds of buckets, are ranked all the same."""
+    monkeypatch.setattr(packed, "BUCKET", 64)
+    monkeypatch.setattr(suffix_order, "BLOCK", 100)
+    rng = random.Random(3)
+    parts = [bytes(rng.choices(b"ab", k=40)), b"a" * 60, bytes(rng.choices(b"abc", k=30))]
+    strings = [b"".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(25)]
+    assert collected(build_bwt(strings_of(spark, strings), "doubling")) == by_definition(strings)
+    ints = [[1 + c for c in s[:90]] for s in strings[:12]]
+    assert collected(build_bwt(ints_of(spark, ints), "doubling")) == by_definition(ints)
+
+
+def test_no_table_holds_a_row_for_each_suffix(spark):
+    before, rng = len(storage._made), random.Random(4)
+    build_bwt(strings_of(spark, [bytes(rng.choices(b"abcd", k=400)) for _ in range(20)]), "doubling")
+    assert sum(spark.read.parquet(p).count() for p in storage._made[before:]) < 1000
+
+
 def test_expand_and_null_symbol(spark):
     runs = build_bwt(strings_of(spark, [b"banana"]))
     rows = expand(runs, ord("$")).orderBy("bwt_pos").collect()
