@@ -115,9 +115,23 @@ def test_many_blocks_and_buckets(spark, monkeypatch):
     assert collected(build_bwt(ints_of(spark, ints), "doubling")) == by_definition(ints)
 
 
-def test_no_table_holds_a_row_for_each_suffix(spark):
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_parse_of_many_blocks_and_buckets(spark, monkeypatch, held):
+    """With a dictionary that tasks hold, and with one that is joined."""
+    monkeypatch.setattr(packed, "BUCKET", 64)
+    monkeypatch.setattr(suffix_order, "BLOCK", 50)
+    monkeypatch.setattr(parse, "HELD", held)
+    rng = random.Random(6)
+    parts = [bytes(rng.choices(b"abc", k=30)), b"a" * 9, b"bca", bytes(rng.choices(b"abcd", k=20))]
+    strings = [b"".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(25)]
+    assert collected(build_bwt(strings_of(spark, strings), "parse")) == by_definition(strings)
+
+
+@pytest.mark.parametrize("strategy", ["doubling", "parse"])
+def test_no_table_holds_a_row_for_each_suffix(spark, strategy):
     before, rng = len(storage._made), random.Random(4)
-    build_bwt(strings_of(spark, [bytes(rng.choices(b"abcd", k=400)) for _ in range(20)]), "doubling")
+    words = [bytes(rng.choices(b"abcd", k=4)) for _ in range(9)]
+    build_bwt(strings_of(spark, [b"".join(rng.choices(words, k=100)) for _ in range(20)]), strategy)
     assert sum(spark.read.parquet(p).count() for p in storage._made[before:]) < 1000
 
 
