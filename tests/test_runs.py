@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from suffixloom.functions.ordered import in_parts, smaller_rows
+from suffixloom.functions import storage
 from suffixloom.operators import index, splitting, statistics
 from suffixloom.operators.build import build_bwt
 from suffixloom.sources import collection, files
@@ -50,6 +51,19 @@ def test_length_bins(spark):
     assert [(r["bin"], r["runs"], r["percent"]) for r in rows] == [(1, 1, 25.0), (2, 2, 50.0), (3, 1, 25.0)]
 
 
+@pytest.mark.parametrize("order", [1, 2])
+def test_invariants(spark, order):
+    """In order only the ends of partitions are kept; in any other order the same comes out."""
+    pairs = [(97 + i % 3, 1 + i % 5) for i in range(300)] + [(0, 4), (97, 2), (97, 3)]
+    rows = runs_of(spark, pairs).collect()
+    rows = [(r["run_id"], r["start"] + (r["run_id"] >= 150), r["sym"], r["len"]) for r in rows]
+    kept = spark.createDataFrame(rows[::order] + rows[1::2] * (order - 1), "run_id bigint, start bigint, sym bigint, len bigint")
+    before = len(storage._made)
+    assert tuple(statistics.invariants(kept).first()) == (sum(n for _, n in pairs), 4, 1, 1)
+    made = sum(spark.read.parquet(p).count() for p in storage._made[before:])
+    assert order == 2 or made <= 3 * 8
+
+
 SPLIT = [
     (4, 5, [(97, 0, 4, 0), (97, 4, 1, 0), (97, 5, 3, 1), (97, 8, 2, 1), (98, 10, 3, 2), (99, 13, 2, 2), (99, 15, 2, 3), (99, 17, 3, 3)]),
     (7, None, [(97, 0, 7, None), (97, 7, 3, None), (98, 10, 3, None), (99, 13, 7, None)]),
