@@ -157,6 +157,20 @@ def test_inversion(spark, strategy):
     assert [bytes(r["body"]) for r in first] == strings[:2]
 
 
+def test_inversion_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packed, "BUCKET", 64)
+    monkeypatch.setattr(index, "ROWS", 50)
+    rng = random.Random(8)
+    strings = [bytes(rng.choices(b"ab", k=rng.randint(0, 60))) for _ in range(20)]
+    runs = storage.stored(build_bwt(strings_of(spark, strings)), "runs")
+    before = len(storage._made)
+    for first in (None, 3):
+        found = index.invert(runs, first, strategy="doubling").orderBy("string_index").collect()
+        assert [bytes(r["body"]) for r in found] == strings[:first]
+    kept = [spark.read.parquet(p) for p in storage._made[before:]]
+    assert not any("row" in t.columns for t in kept)  # no pointer is a row of a table
+
+
 def test_integer_inversion(spark):
     strings = [[300, 5, 300, 5], [], [70000]]
     for strategy in ("walk", "doubling"):
